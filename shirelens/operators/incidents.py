@@ -58,29 +58,31 @@ def region_profile(census: DataFrame, unit: str, level: str = "Level", area: str
 
 
 def parse_stacked(raw: DataFrame, named: dict[str, str], first_year: int, state: str,
-                  positional: list[str], drop_keys: list[str]) -> DataFrame:
+                  positional: list[str], drop_keys: list[str], grand_total: str = "total_crimes",
+                  fallback_sum: list[str] | None = None) -> DataFrame:
     """Union of the two layouts stacked in one ragged file read as strings.
 
     Layout 1 (``first_year`` in the second column) takes its measures by column *name*; layout 2 (``state`` in
-    the second column) by *position* from the seventh column on, its total being the row-wise tail sum.
+    the second column) by *position* from the seventh column on, its total being the row-wise tail sum.  A missing
+    total in layout 1 becomes the sum of ``fallback_sum``.
     """
     cols = [F.col(f"`{c}`") for c in raw.columns]
     c0, c1 = F.trim(cols[0]), F.trim(cols[1])
-    measures = [m for m in named.values() if m != "total_crimes"]
+    measures = [m for m in named.values() if m != grand_total]
 
     by_name = {m: F.coalesce(F.col(f"`{src}`").try_cast("double"), F.lit(0.0)) if src in raw.columns else F.lit(0.0)
                for src, m in named.items()}
-    partial = total([by_name[m] for m in ("murder", "attempt_to_murder", "rape", "kidnapping", "robbery", "theft")])
+    partial = total([by_name[m] for m in fallback_sum or measures])
     layout1 = raw.where((c1 == str(first_year)) & c0.isNotNull() & ~c0.isin(*drop_keys)).select(
         c0.alias("region"), F.lit(first_year).alias("year"), *[by_name[m].alias(m) for m in measures],
-        F.when(by_name["total_crimes"] > 0, by_name["total_crimes"]).otherwise(partial).alias("total_crimes"))
+        F.when(by_name[grand_total] > 0, by_name[grand_total]).otherwise(partial).alias(grand_total))
 
     region = F.trim(cols[5])
     layout2 = raw.where((c1 == state) & c0.rlike(r"^[0-9]+$") & region.isNotNull() & ~region.isin(*drop_keys)).select(
         region.alias("region"), c0.cast("int").alias("year"),
         *[(to_number_or_zero(F.trim(cols[6 + positional.index(m)])) if m in positional else F.lit(0.0)).alias(m)
           for m in measures],
-        tail_sum([F.trim(c) for c in cols[6:]]).alias("total_crimes"))
+        tail_sum([F.trim(c) for c in cols[6:]]).alias(grand_total))
     return layout1.unionByName(layout2)
 
 

@@ -125,7 +125,7 @@ def contamination_threshold(df: DataFrame, value: str, share: float) -> DataFram
     many rows were scored.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.percentile(value, share, "_n").alias("threshold"))
+    return counts.agg(F.percentile(value, share, F.col("_n")).alias("threshold"))
 
 
 def isolation_forest(df: DataFrame, id_col: str, cols: list[str], contamination: float, n_trees: int = 100,

@@ -29,10 +29,11 @@ def heuristic_score(requests: DataFrame, defaults: dict[str, float] = S.REQUEST_
     ).withColumn("risk_level", S.band(c("risk_score"), inclusive=False))
 
 
-def alerts(pred: DataFrame, key: str = "region") -> DataFrame:
+def alerts(pred: DataFrame, key: str = "region", keep: list[str] | None = None) -> DataFrame:
+    """Alert rows for high risk, else for high anomaly; other rows give none."""
     risk, anomaly = F.col("risk_score"), F.coalesce(F.col("anomaly_score"), F.lit(0.0))
     return pred.select(
-        key, S.alert_type(risk, anomaly).alias("alert_type"), S.alert_severity(risk, anomaly).alias("severity"),
+        key, *(keep or []), S.alert_type(risk, anomaly).alias("alert_type"), S.alert_severity(risk, anomaly).alias("severity"),
         S.alert_message(F.col(key).cast("string"), risk, anomaly, F.col("crime_forecast")).alias("message"),
     ).where(F.col("alert_type").isNotNull())
 

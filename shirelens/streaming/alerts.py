@@ -24,12 +24,12 @@ def closed_windows(events: DataFrame, key: str, ts: str, width: str, lateness: s
 
 def window_alerts(counts: DataFrame, key: str, expected: float) -> DataFrame:
     """Alert rows of window counts: the risk is the count as a share of the expected one, the anomaly the peak value's."""
-    scored = counts.withColumn("risk_score", F.round(clip(F.col("n") / F.lit(expected) * 50.0, 0.0, 100.0), 2)).withColumn(
-        "anomaly_score", F.round(clip(F.col("peak") / 100.0, 0.0, 1.0), 4)).withColumn("crime_forecast", F.col("n").cast("double"))
-    return scored.join(alerts(scored.withColumn("_id", F.concat_ws("|", key, F.col("window_start").cast("string"))), "_id")
-                       .withColumnRenamed("_id", "alert_id"),
-                       F.col("alert_id") == F.concat_ws("|", key, F.col("window_start").cast("string"))).select(
-        "alert_id", key, "window_start", "n", "alert_type", "severity", "message")
+    scored = counts.withColumns({
+        "risk_score": F.round(clip(F.col("n") / F.lit(expected) * 50.0, 0.0, 100.0), 2),
+        "anomaly_score": F.round(clip(F.col("peak") / 100.0, 0.0, 1.0), 4),
+        "crime_forecast": F.col("n").cast("double"),
+    })
+    return alerts(scored, key, keep=["window_start", "n"])
 
 
 def start_window_sink(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
