@@ -1,11 +1,11 @@
 """Isolation forest (Liu, Ting and Zhou 2008) with md5 randomness.
 
-Fitting works on a bounded sample, all trees at once, one level per step; scoring passes each row once by the
-fitted node table.  Every random choice is an md5 of (seed, tree, node), so a fit is reproducible anywhere.
+Fitting groups a bounded sample by tree; scoring passes each row once by the fitted node table.  Every random choice is an md5 of (seed, tree, node), so a fit is reproducible anywhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.numeric import hash_int, hash_unit
+from ..functions.numeric import hash_int
 from .features import global_stats
 
 SCORE_DIGITS = 6
@@ -45,42 +45,46 @@ def training_sample(df: DataFrame, id_col: str, cols: list[str], n_trees: int, s
     return ranked.where(F.col("_r") <= sample).select("tree", "id", "x")
 
 
+NODE_SCHEMA = "tree int, node long, feature int, split double, size long"
+
+
+def _draw(*parts) -> int:
+    """The Python twin of ``hash_int``."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def grow_tree(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
+    """Nodes of one tree over its sample; root is 1, children 2i and 2i+1, leaves have no feature."""
+    limit = math.ceil(math.log2(max(len(x), 1)))
+    out, level = [], [(1, np.arange(len(x)))]
+    for depth in range(limit + 1):
+        below = []
+        for node, rows in level:
+            lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+            varied = np.flatnonzero(hi > lo)
+            if depth == limit or len(varied) == 0:
+                out.append((tree, node, None, None, len(rows)))
+                continue
+            f = int(varied[_draw(seed, "f", tree, node) % len(varied)])
+            u = (_draw(seed, "s", tree, node) + 0.5) / 4294967296.0
+            split = float(lo[f] + u * (hi[f] - lo[f]))
+            left = x[rows, f] < split
+            out.append((tree, node, f, split, len(rows)))
+            below += [(child, part) for child, part in ((2 * node, rows[left]), (2 * node + 1, rows[~left])) if len(part)]
+        level = below
+    return out
+
+
 def fit(df: DataFrame, id_col: str, cols: list[str], n_trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Node table ``(tree, node, feature, split, size)``; leaves have no feature.  Root is 1, children 2i and 2i+1.
+    """Node table ``(tree, node, feature, split, size)``.  One shuffle by tree; a group is one sample."""
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = grow_tree(int(rows["tree"].iloc[0]), np.array(rows["x"].tolist(), dtype=float), seed)
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "size"]).astype({"feature": "Int32"})
 
-    One shuffle by tree; all levels then run inside those partitions.
-    """
-    d, depth = len(cols), math.ceil(math.log2(sample))
-    rows = training_sample(df, id_col, cols, n_trees, sample, seed).withColumn("node", F.lit(1).cast("long"))
-    rows = rows.withColumn("path", F.array().cast("array<struct<node:bigint,feature:int,split:double,size:bigint>>"))
-    w = W.partitionBy("tree", "node")
-    for level in range(depth + 1):
-        lo = [F.min(F.get("x", F.lit(i))).over(w).alias(f"lo{i}") for i in range(d)]
-        hi = [F.max(F.get("x", F.lit(i))).over(w).alias(f"hi{i}") for i in range(d)]
-        seen = rows.select("*", F.count(F.lit(1)).over(w).alias("n"), *lo, *hi)
-        if level == depth:
-            seen = seen.withColumn("f", F.lit(None).cast("int"))
-        else:
-            varied = F.filter(F.array(*[F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), i) for i in range(d)]), lambda v: v.isNotNull())
-            pick = F.pmod(hash_int(F.lit(seed), F.lit("f"), F.col("tree"), F.col("node")), F.greatest(F.size("v"), F.lit(1)))
-            seen = seen.withColumn("v", varied).withColumn("f", F.get("v", pick.cast("int"))).drop("v")
-        f = F.col("f") + 1
-        los, his = F.array(*[F.col(f"lo{i}") for i in range(d)]), F.array(*[F.col(f"hi{i}") for i in range(d)])
-        u = hash_unit(F.lit(seed), F.lit("s"), F.col("tree"), F.col("node"))
-        a, b = F.get(los, F.col("f")), F.get(his, F.col("f"))
-        seen = seen.withColumn("split", a + u * (b - a))
-        step = F.struct("node", F.col("f").alias("feature"), "split", F.col("n").alias("size"))
-        moved = F.when(F.col("f").isNull(), F.lit(None)).when(
-            F.get("x", F.col("f")) < F.col("split"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
-        # rows in a leaf keep node NULL from here on and share one inert partition entry per tree
-        rows = seen.select(
-            "tree", "id", "x", moved.alias("next"),
-            F.when(F.col("node").isNotNull(), F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
-        ).withColumnRenamed("next", "node")
-    return rows.select("tree", F.explode("path").alias("s")).select("tree", "s.*").distinct()
-
-
-def score(df: DataFrame, nodes: DataFrame, cols: list[str], sample: int, digits: int = SCORE_DIGITS, out: str = "score") -> DataFrame:
+    return training_sample(df, id_col, cols, n_trees, sample, seed).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+
+
+def score(df: DataFrame, nodes: DataFrame, cols: list[str], digits: int = SCORE_DIGITS, out: str = "score") -> DataFrame:
     """Add the isolation score (higher is more anomalous).
 
     The node table is bounded by trees x 2 x sample rows, which is why it may travel with the function.
@@ -97,7 +101,7 @@ def score(df: DataFrame, nodes: DataFrame, cols: list[str], sample: int, digits:
     split[at] = model["split"].fillna(0.0)
     depth_of = np.floor(np.log2(model["node"].to_numpy())).astype(int)
     length[at] = depth_of + np.array([average_path(int(s)) for s in model["size"]])
-    levels, norm = int(depth_of.max()), average_path(sample)
+    levels, norm = int(depth_of.max()), average_path(int(model.loc[model["node"] == 1, "size"].iloc[0]))
 
     @F.pandas_udf("double")
     def path_length(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -132,12 +136,11 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], contamination:
                      sample: int = 256, seed: int = 42) -> DataFrame:
     """Adds ``raw_score`` (higher is odder), ``is_anomaly`` and ``anomaly_score`` scaled to [0, 1].
 
-    The flag marks rows whose negated score falls below its ``contamination`` percentile.
+    ``df`` is read twice, to fit and to score.  The flag marks rows whose negated score falls below its ``contamination`` percentile.
     """
     from ..session import materialize
 
-    size = min(sample, df.count())
-    scored = materialize(score(df, fit(df, id_col, cols, n_trees, size, seed), cols, size, out="raw_score"), "isolation")
+    scored = materialize(score(df, fit(df, id_col, cols, n_trees, sample, seed), cols, out="raw_score"), "isolation")
     plain = scored.withColumn("_d", -F.col("raw_score"))
     t = contamination_threshold(plain, "_d", contamination).scalar()
     s = global_stats(plain, lo=F.min("_d"), hi=F.max("_d"))

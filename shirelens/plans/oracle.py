@@ -110,7 +110,7 @@ def _km(la1: str, lo1: str, la2: str, lo2: str) -> str:
 
 CELLS = POINTS + """, cells AS (SELECT CAST(i * 100000 + j AS BIGINT) AS cell, crime_count, severity_mean, (i + 0.5) / 100.0 AS lat_center,
   (j + 0.5) / 100.0 AS lon_center FROM (SELECT CAST(floor(lat * 100) AS BIGINT) AS i, CAST(floor(lon * 100) AS BIGINT) AS j,
-    count(*) AS crime_count, round(avg(severity), 2) AS severity_mean FROM pts GROUP BY ALL))"""
+    count(*) AS crime_count, CAST(sum(CAST(round(severity * 100) AS BIGINT)) AS BIGINT) / count(*) / 100.0 AS severity_mean FROM pts GROUP BY ALL))"""
 
 NODES = """nodes AS (SELECT node_id, name, CASE WHEN bal < 0 THEN 'Independent' WHEN bal < 3000 THEN 'amber' WHEN bal < 6000 THEN 'blue' ELSE 'coral' END AS grp,
   'NATION_' || CAST(nk AS VARCHAR) AS region FROM (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS node_id, c_name AS name, c_nationkey AS nk, c_acctbal AS bal FROM customer

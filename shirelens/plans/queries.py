@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geo, numeric as N, scores as S
 from ..operators import (allocation as al, features as feat, graph as gr, incidents as inc, isolation as iso, keys as K,
                          quality as qa, readside as rs, regression as rg, scoring as sc, spatial as sp)
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files as fl, tables as tb
 from ..streaming import alerts as st
 from . import shapes as sh
@@ -41,6 +41,11 @@ def _features(t: Tables, grain: str = "nation") -> DataFrame:
     return build_features(profiles, sh.incident_rows(t, grain), sh.MEASURES, sh.VIOLENT, sh.PROPERTY)
 
 
+def _saved_features(t: Tables) -> DataFrame:
+    """The feature store as a written table, for models that read it more than once."""
+    return materialize(_features(t, "customer"), "features")
+
+
 def _raw_names(t: Tables) -> DataFrame:
     """Customers with their nation's name spelled three ways, and sometimes not at all."""
     n = t.nation.select("n_nationkey", "n_name")
@@ -508,7 +513,7 @@ def run_summary(t):
 @query
 def anomaly_regions(t):
     """Nine standardised features, contamination 0.15."""
-    z = feat.standardize(_features(t, "customer"), feat.FEATURE_COLUMNS)
+    z = materialize(feat.standardize(_saved_features(t), feat.FEATURE_COLUMNS), "scaled")
     cols = [f"z_{f}" for f in feat.FEATURE_COLUMNS]
     return iso.isolation_forest(z, "region", cols, 0.15).select("region", "anomaly_score", "is_anomaly")
 
@@ -517,7 +522,8 @@ def _order_cells(t: Tables) -> DataFrame:
     """Incident points folded to 0.01-degree cells."""
     p = sh.incident_points(t)
     return p.groupBy(F.floor(c("lat") * 100).alias("i"), F.floor(c("lon") * 100).alias("j")).agg(
-        F.count(F.lit(1)).alias("crime_count"), F.round(F.avg("severity"), 2).alias("severity_mean")).select(
+        F.count(F.lit(1)).alias("crime_count"),
+        (F.sum(F.round(c("severity") * 100).cast("long")) / F.count(F.lit(1)) / 100.0).alias("severity_mean")).select(
         (c("i") * 100000 + c("j")).alias("cell"), "crime_count", "severity_mean",
         ((c("i") + 0.5) / 100.0).alias("lat_center"), ((c("j") + 0.5) / 100.0).alias("lon_center"))
 
@@ -528,7 +534,7 @@ CELL_FEATURES = ["crime_count", "severity_mean", "lat_center", "lon_center"]
 @query
 def anomaly_cells(t):
     """Four raw features of grid cells, contamination 0.05."""
-    return iso.isolation_forest(_order_cells(t), "cell", CELL_FEATURES, 0.05).select("cell", "raw_score", "is_anomaly")
+    return iso.isolation_forest(materialize(_order_cells(t), "cells"), "cell", CELL_FEATURES, 0.05).select("cell", "raw_score", "is_anomaly")
 
 
 @query
@@ -545,7 +551,7 @@ def contamination_threshold(t):
 
 @query
 def feature_clusters(t):
-    z = feat.standardize(_features(t, "customer"), feat.FEATURE_COLUMNS)
+    z = feat.standardize(_saved_features(t), feat.FEATURE_COLUMNS)
     return sp.dbscan_features(z, "region", [f"z_{f}" for f in feat.FEATURE_COLUMNS], 1.5).withColumnRenamed("region", "id")
 
 
@@ -586,17 +592,13 @@ FOREST_INPUTS = [f for f in feat.FEATURE_COLUMNS if f not in ("crime_rate_per_10
 
 @query
 def forest_predictions(t):
-    from ..session import materialize
-
-    f = materialize(_features(t, "customer"), "features")
+    f = _saved_features(t)
     model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST)
     return rg.predict(model, f, FOREST_INPUTS).select("region", "crime_rate_per_100k", F.round("prediction", 4).alias("prediction"))
 
 
 def _explained(t: Tables) -> DataFrame:
-    from ..session import materialize
-
-    f = materialize(_features(t, "customer"), "features")
+    f = _saved_features(t)
     model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST)
     return materialize(rg.explain_rows(model, f, "region", FOREST_INPUTS), "explained")
 
@@ -614,9 +616,7 @@ def global_importance(t):
 @query
 def scoring_run(t):
     """Features to scored regions: anomaly, cluster, forecast, blended risk, sorted."""
-    from ..session import materialize
-
-    return score_regions(materialize(_features(t, "customer"), "features"), **FOREST)
+    return score_regions(_saved_features(t), **FOREST)
 
 
 # --- allocation ----------------------------------------------------------------------------------------------------

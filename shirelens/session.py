@@ -43,15 +43,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, balance: bool = False) -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
     Unlike a cached or locally checkpointed frame it survives the loss of any executor, and reading it
-    back gives the planner true sizes and column pruning.
+    back gives the planner true sizes and column pruning.  With ``balance``, a table of fewer files than there
+    are cores is dealt out again, for steps that compute far more than they read; larger tables are left alone.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if balance and len(out.inputFiles()) < cores else out
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
