@@ -28,8 +28,11 @@ def coverage_groups(spots: DataFrame, bases: DataFrame, radii: list[float], spot
     side = reach / geo.EARTH_RADIUS_KM
     lat, lon, risk = spot
     bid, blat, blon = (F.col(c) for c in base)
+    # bases at one position cover the same spots; the smallest id stands for them
+    sites = bases.groupBy(blat.alias("la"), blon.alias("lo")).agg(F.min(bid).alias("id"))
+    blat, blon = F.col("la"), F.col("lo")
     by_cell = (
-        bases.select(bid.alias("id"), blat.alias("la"), blon.alias("lo"),
+        sites.select("id", "la", "lo",
                      F.explode(geo.reach_cells(blat, blat, blon, blon, reach, side)).alias("_cell"))
         .groupBy("_cell").agg(F.collect_list(F.struct("id", "la", "lo")).alias("_near")))
     la, lo = F.col(lat), F.col(lon)

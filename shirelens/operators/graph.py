@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scores as S
 from ..functions.numeric import hash_unit
-from .keys import select_by_name
+from .keys import select_by_name, sequential_ids
 
 NO_GROUP = "Independent"
 
@@ -44,8 +44,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, region: str | None = None, chec
     """Nodes of a region with their degree in the *full* graph, and the edges among them, with display attributes."""
     kept = region_nodes(nodes, region, check)
     groups = kept.select("grp").where(F.col("grp").isNotNull()).distinct()
-    ordinal = groups.select(F.col("grp").alias("_g"), "grp").alias("l").join(
-        groups.select(F.col("grp").alias("_h")), F.col("_h") < F.col("_g"), "left").groupBy("grp").agg(F.count("_h").alias("_ord"))
+    ordinal = sequential_ids(groups, ["grp"], "_ord")
     shown = (kept.join(degree(edges), "node_id", "left").join(ordinal, "grp", "left")
              .withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
              .withColumn("size", S.node_size(F.col("links"))).withColumn("color", S.group_color(F.col("_ord"))).drop("_ord"))

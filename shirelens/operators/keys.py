@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import canonical_name, is_blank, match_key
+from ..session import checkpoint
 
 
 def canonical_key(df: DataFrame, key: str, aliases: DataFrame, alias: str = "alias", canonical: str = "canonical",
@@ -52,15 +53,13 @@ def sequential_ids(df: DataFrame, order_by: list, out: str = "seq") -> DataFrame
     add to each row's place in its partition the number of rows before that partition.  The offsets table has
     one row per partition.
     """
-    from ..session import checkpoint
-
     laid_out = checkpoint(df.orderBy(*order_by)).withColumn("_mid", F.monotonically_increasing_id())
     part, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
     rows = laid_out.withColumn("_part", part)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = sizes.select(F.col("_part").alias("_before"), F.col("_n").alias("_m"))
-    offsets = sizes.join(earlier, F.col("_before") < F.col("_part"), "left").groupBy("_part").agg(
-        F.coalesce(F.sum("_m"), F.lit(0)).alias("_offset"))
+    # this window sees one row per partition
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     # one row per partition, so its size is bounded by the partition count
     return rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + place).drop(
         "_mid", "_part", "_offset")

@@ -380,7 +380,8 @@ def coverage(radii: list[int], k: int) -> str:
     """Greedy rounds as a recursive query whose state is the list of picked bases per radius."""
     reach = max(radii)
     return CELLS + ", " + BASES + f""", spots AS (SELECT cell AS s, lat_center AS la, lon_center AS lo, CAST(crime_count * 1.25 AS DECIMAL(18, 2)) AS risk FROM cells),
-reach AS (SELECT s, base_id, {_km('base_lat', 'base_lon', 'la', 'lo')} AS d FROM spots JOIN bases ON abs(la - base_lat) <= {reach / 111.0}),
+sites AS (SELECT min(base_id) AS base_id, base_lat, base_lon FROM bases GROUP BY base_lat, base_lon),
+reach AS (SELECT s, base_id, {_km('base_lat', 'base_lon', 'la', 'lo')} AS d FROM spots JOIN sites ON abs(la - base_lat) <= {reach / 111.0}),
 radii AS (SELECT CAST(unnest({radii}) AS DOUBLE) AS radius),
 sets AS (SELECT radius, s, any_value(risk) AS risk, coalesce(list(base_id) FILTER (WHERE base_id IS NOT NULL), []) AS covers
   FROM spots CROSS JOIN radii LEFT JOIN reach USING (s) WHERE d <= radius GROUP BY radius, s),
