@@ -19,8 +19,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.where(F.col(src) != F.col(dst)).select(hi.alias("u"), lo.alias("v")).distinct()
     e = materialize(e, "edges")
     for _ in range(max_rounds):
-        if _is_star_forest(e):
-            break
         # large star: every larger neighbour of u goes to the smallest node around u
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         root = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -32,6 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(
             "u != v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         e = materialize(small.distinct(), "stars")
+        if _is_star_forest(e):
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-import math
+import re
 
 from .shapes import MEASURES, PRIORITIES
 
 SQL: dict[str, str] = {}
 
 
-def rnd(expr: str, digits: int) -> str:
+def rnd(expr: str, digits: int | str) -> str:
     """Half-up rounding of a double's decimal text; rounding the scaled double would move some ties."""
     return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
 
 
+def half_up(sql: str) -> str:
+    """Write every ``round(x, n)`` of a query as :func:`rnd`."""
+    out, i = "", 0
+    while (j := sql.find("round(", i)) >= 0:
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        body = half_up(sql[j + 6:k - 1])
+        if re.search(r", \d+$", body) and (j == 0 or not sql[j - 1].isalnum()):
+            expr, digits = body.rsplit(", ", 1)
+            out += sql[i:j] + rnd(expr, digits)
+        else:
+            out += sql[i:j] + f"round({body})"
+        i = k
+    return out + sql[i:]
+
 # --- shared shapes ---------------------------------------------------------------------------------------------
 
 CUST = """cust AS (SELECT *, pop - male AS female, pop - workers AS non_workers, workers // 2 AS main_workers FROM (
@@ -126,7 +143,7 @@ AFFINITY = ENDS + """, aff AS (SELECT src, dst, CAST(1.0 + CASE WHEN same_group
 
 
 def add(name: str, sql: str) -> None:
-    SQL[name] = sql
+    SQL[name] = half_up(sql)
 
 
 # --- sources -----------------------------------------------------------------------------------------------------
@@ -211,16 +228,16 @@ add("alert_rows", f"""WITH {LATEST} SELECT region, CASE WHEN risk_score > 65 THE
   FROM pred WHERE risk_score > 65 OR anomaly_score > 0.70""")
 add("marker_attributes", f"""WITH {LOG} SELECT id, round(6 + risk_score / 100.0 * 22, 6) AS radius, CASE WHEN risk_score >= 75 THEN 'darkred'
   WHEN risk_score >= 50 THEN 'red' WHEN risk_score >= 25 THEN 'orange' ELSE 'green' END AS color FROM log""")
-add("heuristic_scores", f"""WITH req AS (SELECT c_custkey AS region,
+add("heuristic_scores", """WITH req AS (SELECT c_custkey AS region,
     CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * 7919 % 60000) / 100.0 ELSE 150.0 END AS rate,
     CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey * 104729 % 10000) / 100.0 ELSE 75.0 END AS lit,
     CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey * 15485863 % 6000) / 100.0 - 20.0 ELSE 2.0 END AS g,
     CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey * 32452843 % 15000) / 100.0 ELSE 45.0 END AS sev FROM customer),
   n AS (SELECT *, least(greatest(rate / 400.0, 0.0), 1.0) AS nr, least(greatest(sev / 100.0, 0.0), 1.0) AS ns, greatest(0.0, 1.0 - lit / 100.0) AS ul,
-    {rnd('rate * (1.0 + g / 100.0)', 2)} AS fc, {rnd('least(greatest((rate - 150.0) / 300.0 + g / 50.0, 0.0), 1.0)', 4)} AS an FROM req),
-  s AS (SELECT region, {rnd('(CAST(0.45 AS DOUBLE) * nr + CAST(0.35 AS DOUBLE) * ns + CAST(0.2 AS DOUBLE) * ul) * 100.0', 2)} AS hotspot_score,
+    round(rate * (1.0 + g / 100.0), 2) AS fc, round(least(greatest((rate - 150.0) / 300.0 + g / 50.0, 0.0), 1.0), 4) AS an FROM req),
+  s AS (SELECT region, round((CAST(0.45 AS DOUBLE) * nr + CAST(0.35 AS DOUBLE) * ns + CAST(0.2 AS DOUBLE) * ul) * 100.0, 2) AS hotspot_score,
     fc AS crime_forecast, an AS anomaly_score,
-    least(greatest({rnd('(CAST(0.5 AS DOUBLE) * (fc / 300.0) + CAST(0.35 AS DOUBLE) * nr + CAST(0.15 AS DOUBLE) * an) * 100.0', 2)}, 0.0), 100.0) AS risk_score FROM n)
+    least(greatest(round((CAST(0.5 AS DOUBLE) * (fc / 300.0) + CAST(0.35 AS DOUBLE) * nr + CAST(0.15 AS DOUBLE) * an) * 100.0, 2), 0.0), 100.0) AS risk_score FROM n)
   SELECT *, CASE WHEN risk_score > 75 THEN 'CRITICAL' WHEN risk_score > 50 THEN 'HIGH' WHEN risk_score > 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s""")
 add("numbered_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS seq FROM orders")
 
@@ -240,7 +257,7 @@ add("deployment_overlay", f"""WITH {NAMES}, units AS (SELECT n_name, count(*) AS
   SELECT c_custkey, units FROM names LEFT JOIN units ON lower(n_name) = lower(trim(raw_name))""")
 add("indicator_overlay", f"""WITH {NAMES}, tot AS (SELECT {_canonical('raw_name')} AS region, count(*) AS incidents FROM orders JOIN names ON o_custkey = c_custkey
     LEFT JOIN aliases ON alias = upper(trim(raw_name)) GROUP BY 1),
-  ind AS (SELECT {_canonical('n_name')} AS region, count(*) AS stations, round(avg(s_acctbal), 2) AS indicator FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  ind AS (SELECT {_canonical('n_name')} AS region, count(*) AS stations, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS BIGINT) / count(*) / 100.0 AS indicator FROM supplier JOIN nation ON s_nationkey = n_nationkey
     LEFT JOIN aliases ON alias = upper(n_name) GROUP BY 1)
   SELECT region, incidents, stations, indicator FROM tot LEFT JOIN ind USING (region)""")
 add("distance_pairs", f"""WITH {POINTS}, {BASES}, d AS (SELECT point_id, base_id, {_km('base_lat', 'base_lon', 'lat', 'lon')} AS km FROM pts JOIN bases
@@ -282,9 +299,10 @@ add("stacked_layouts", """WITH one AS (SELECT 'R' || CAST(c_nationkey AS VARCHAR
   SELECT region, year, sum(alpha) AS alpha, sum(beta) AS beta, sum(total_crimes) AS total_crimes FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL""")
 
 # --- scoring -----------------------------------------------------------------------------------------------------
-SCORED = CUST_FEATURES + ", " + LATEST + f""", fc AS (SELECT f.*, anomaly_score, {rnd('crime_rate_per_100k * (1.0 + least(greatest(crime_growth_rate / 100.0, CAST(-0.2 AS DOUBLE)), CAST(0.5 AS DOUBLE)))', 2)} AS crime_forecast
+SCORED = CUST_FEATURES + ", " + LATEST + """, fc AS (SELECT f.*, anomaly_score, round(crime_rate_per_100k * (1.0 + least(greatest(crime_growth_rate / 100.0, CAST(-0.2 AS DOUBLE)), CAST(0.5 AS DOUBLE))), 2) AS crime_forecast
   FROM cfeat f JOIN (SELECT region, anomaly_score FROM pred) USING (region)),
-scored AS (SELECT fc.*, {rnd("(CAST(0.5 AS DOUBLE) * (crime_forecast / (CASE WHEN hi > 0 THEN hi ELSE 1.0 END)) + CAST(0.35 AS DOUBLE) * normalized_crime_index + CAST(0.15 AS DOUBLE) * anomaly_score) * 100.0", 2)} AS risk_score FROM fc, (SELECT max(crime_forecast) AS hi FROM fc))"""
+scored AS (SELECT fc.*, round((CAST(0.5 AS DOUBLE) * (crime_forecast / (CASE WHEN hi > 0 THEN hi ELSE 1.0 END)) + CAST(0.35 AS DOUBLE) * normalized_crime_index
+  + CAST(0.15 AS DOUBLE) * anomaly_score) * 100.0, 2) AS risk_score FROM fc, (SELECT max(crime_forecast) AS hi FROM fc))"""
 add("blended_risk", f"WITH {SCORED} SELECT region, crime_forecast, risk_score FROM scored")
 add("run_summary", f"""WITH {SCORED} SELECT count(*) AS total_regions, count(*) FILTER (WHERE anomaly_score > 0.85) AS total_anomalies,
   round(avg(crime_rate_per_100k), 2) AS avg_rate, (SELECT region FROM scored ORDER BY risk_score DESC, region LIMIT 1) AS highest_risk_region,
@@ -366,7 +384,7 @@ add("point_clusters", f"WITH RECURSIVE {DBSCAN} SELECT point_id, CAST(cluster_id
 add("cluster_centers", f"WITH RECURSIVE {CENTERS} SELECT cluster_id, region, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon, size, risk_score FROM centers")
 add("cluster_risk_by_region", f"WITH RECURSIVE {CENTERS} SELECT region, round(sum(risk_score), 2) AS risk FROM centers GROUP BY 1 ORDER BY risk DESC, region LIMIT 12")
 add("center_cells", f"""WITH RECURSIVE {CENTERS} SELECT CAST(cluster_id AS VARCHAR) || '_0' AS cell_id, region, CAST(floor(risk_score * 5) AS INTEGER) + 10 AS crime_count, severity_mean
-  FROM centers JOIN (SELECT cluster_id, round(avg(severity), 2) AS severity_mean FROM pts JOIN labels_ USING (point_id) GROUP BY 1) USING (cluster_id)""")
+  FROM centers JOIN (SELECT cluster_id, CAST(sum(CAST(round(severity * 100) AS BIGINT)) AS BIGINT) / count(*) / 100.0 AS severity_mean FROM pts JOIN labels_ USING (point_id) GROUP BY 1) USING (cluster_id)""")
 _DIST = " + ".join(f"pow(a.z_{c} - b.z_{c}, 2)" for c in ZCOLS)
 add("feature_clusters", f"""WITH RECURSIVE {SCALED}, links AS (SELECT a.region AS a, b.region AS b FROM scaled a JOIN scaled b ON a.region <> b.region WHERE sqrt({_DIST}) <= 1.5),
   comp AS (SELECT DISTINCT a AS id, a AS root FROM links UNION SELECT b, root FROM comp JOIN links ON a = id WHERE root < b),

@@ -41,9 +41,14 @@ def _features(t: Tables, grain: str = "nation") -> DataFrame:
     return build_features(profiles, sh.incident_rows(t, grain), sh.MEASURES, sh.VIOLENT, sh.PROPERTY)
 
 
+def _cents_mean(amount: str):
+    """Mean of a money column by exact integer sums, the same in whatever order rows arrive."""
+    return F.sum(F.round(c(amount) * 100).cast("long")) / F.count(F.lit(1)) / 100.0
+
+
 def _saved_features(t: Tables) -> DataFrame:
     """The feature store as a written table, for models that read it more than once."""
-    return materialize(_features(t, "customer"), "features")
+    return materialize(_features(t, "customer"), "features", balance=True)
 
 
 def _raw_names(t: Tables) -> DataFrame:
@@ -361,7 +366,7 @@ def indicator_overlay(t):
     totals = t.orders.join(named, c("o_custkey") == c("c_custkey")).groupBy("region").agg(F.count(F.lit(1)).alias("incidents"))
     ind = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).select(c("n_name").alias("raw"), "s_acctbal")
     ind = K.canonical_key(ind, "raw", _aliases(t), out="region").groupBy("region").agg(
-        F.count(F.lit(1)).alias("stations"), F.round(F.avg("s_acctbal"), 2).alias("indicator"))
+        F.count(F.lit(1)).alias("stations"), _cents_mean("s_acctbal").alias("indicator"))
     return totals.join(ind, "region", "left")
 
 
@@ -513,7 +518,7 @@ def run_summary(t):
 @query
 def anomaly_regions(t):
     """Nine standardised features, contamination 0.15."""
-    z = materialize(feat.standardize(_saved_features(t), feat.FEATURE_COLUMNS), "scaled")
+    z = materialize(feat.standardize(_saved_features(t), feat.FEATURE_COLUMNS), "scaled", balance=True)
     cols = [f"z_{f}" for f in feat.FEATURE_COLUMNS]
     return iso.isolation_forest(z, "region", cols, 0.15).select("region", "anomaly_score", "is_anomaly")
 
@@ -523,7 +528,7 @@ def _order_cells(t: Tables) -> DataFrame:
     p = sh.incident_points(t)
     return p.groupBy(F.floor(c("lat") * 100).alias("i"), F.floor(c("lon") * 100).alias("j")).agg(
         F.count(F.lit(1)).alias("crime_count"),
-        (F.sum(F.round(c("severity") * 100).cast("long")) / F.count(F.lit(1)) / 100.0).alias("severity_mean")).select(
+        _cents_mean("severity").alias("severity_mean")).select(
         (c("i") * 100000 + c("j")).alias("cell"), "crime_count", "severity_mean",
         ((c("i") + 0.5) / 100.0).alias("lat_center"), ((c("j") + 0.5) / 100.0).alias("lon_center"))
 
@@ -534,7 +539,7 @@ CELL_FEATURES = ["crime_count", "severity_mean", "lat_center", "lon_center"]
 @query
 def anomaly_cells(t):
     """Four raw features of grid cells, contamination 0.05."""
-    return iso.isolation_forest(materialize(_order_cells(t), "cells"), "cell", CELL_FEATURES, 0.05).select("cell", "raw_score", "is_anomaly")
+    return iso.isolation_forest(materialize(_order_cells(t), "cells", balance=True), "cell", CELL_FEATURES, 0.05).select("cell", "raw_score", "is_anomaly")
 
 
 @query
@@ -581,7 +586,7 @@ def center_cells(t):
     """Cells of the cluster centres with their mean severity instead of a random one."""
     p = sh.incident_points(t)
     labels = sp.dbscan_geo(p, "point_id")
-    severity = p.join(labels, "point_id").groupBy("cluster_id").agg(F.round(F.avg("severity"), 2).alias("severity_mean"))
+    severity = p.join(labels, "point_id").groupBy("cluster_id").agg(_cents_mean("severity").alias("severity_mean"))
     cells = sp.grid_cells(sp.cluster_centers(p, labels, "point_id").join(severity, "cluster_id"))
     return cells.select("cell_id", "region", "crime_count", "severity_mean")
 
