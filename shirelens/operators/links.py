@@ -31,9 +31,11 @@ def box_gap_squared(a: str, b: str, dims: list[str]) -> Column:
 def parts_of(points: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     """Box, representative and number of positions of each group of distinct positions."""
     box = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
-    # min over the position picks a real point of the group
-    return points.groupBy(*keys).agg(F.min(F.struct(*dims, "pos")).alias("_rep"), F.count(F.lit(1)).alias("n"), *box).select(
-        *keys, F.struct(F.col("_rep.pos").alias("pos"), "n", *[f"{n}_{d}" for d in dims for n in ("lo", "hi")]).alias("part"))
+    # any real position represents its group; picked field by field (from one row) this stays a hash aggregate
+    fields = points.schema["pos"].dataType.fieldNames()
+    grouped = points.groupBy(*keys).agg(*[F.first(f"pos.{f}").alias(f"_{f}") for f in fields], F.count(F.lit(1)).alias("n"), *box)
+    pos = F.struct(*[F.col(f"_{f}").alias(f) for f in fields])
+    return grouped.select(*keys, F.struct(pos.alias("pos"), "n", *[f"{n}_{d}" for d in dims for n in ("lo", "hi")]).alias("part"))
 
 
 def linked_cells(points: DataFrame, pairs: DataFrame, dims: list[str], reach: float,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .keys import select_by_name
+from .pick import pick_row
+
 LIST_COLUMNS = ["total_population", "male_population", "female_population", "literacy_rate", "urban_pct",
                 "work_participation_rate"]
 DEMOGRAPHICS = ["total_population", "male_population", "female_population", "literacy_rate", "sex_ratio", "urban_pct",
@@ -17,10 +20,8 @@ def list_regions(profiles: DataFrame, key: str = "region") -> DataFrame:
 
 
 def latest_per_key(log: DataFrame, key: str, order: str) -> DataFrame:
-    """Newest row per key.  ``max_by`` combines on the map side, where a ranking window would sort whole keys."""
-    rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
-        key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    """Newest row per key.  A ranking window would sort whole keys; this aggregate sends one row per task and key."""
+    return pick_row(log, [key], order, largest=True).select(key, *[c for c in log.columns if c != key])
 
 
 def region_documents(profiles: DataFrame, history: DataFrame, features: DataFrame, predictions: DataFrame,
@@ -46,6 +47,4 @@ def region_documents(profiles: DataFrame, history: DataFrame, features: DataFram
 
 def region_detail(documents: DataFrame, name: str, key: str = "region") -> DataFrame:
     """The document of one region, matched without regard to case or padding."""
-    from .keys import select_by_name
-
     return select_by_name(documents, key, name)

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.pick import pick_row
 from .files import write_table
 
 
@@ -28,13 +29,8 @@ def read_relational(spark: SparkSession, table: str, url: str | None = None, par
 
 
 def keep_first(df: DataFrame, keys: list[str], order_by: Column) -> DataFrame:
-    """One row per key, the smallest by ``order_by``.
-
-    ``min_by`` combines on the map side, so a key that holds a third of the rows costs one row per task.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order_by).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    """One row per key, the smallest by ``order_by``."""
+    return pick_row(df, keys, order_by, largest=False)
 
 
 def unseen_rows(new: DataFrame, target: DataFrame, keys: list[str], order_by: Column) -> DataFrame:
