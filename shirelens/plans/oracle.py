@@ -266,8 +266,9 @@ add("region_documents", f"""WITH {CUST_FEATURES}, {LATEST}, hist AS (SELECT regi
     FROM cstats GROUP BY region)
   SELECT p.region, p.literacy_rate, coalesce(history, '') AS history, f.hotspot_score AS feature_hotspot, r.risk_score FROM cprof p LEFT JOIN hist USING (region)
   LEFT JOIN cfeat f USING (region) LEFT JOIN pred r USING (region)""")
-add("region_detail", f"""WITH {NATION_STATS}, {LOG}, best AS (SELECT risk_score FROM log WHERE region % 25 = 7 ORDER BY id DESC LIMIT 1)
-  SELECT CAST(region AS VARCHAR) AS region, risk_score, year, total_crimes FROM nstats LEFT JOIN best ON true WHERE region = 7""")
+add("region_detail", f"""WITH {NATION_PROFILE}, {NATION_STATS}, {LOG}, best AS (SELECT risk_score FROM log WHERE region % 25 = 7 ORDER BY id DESC LIMIT 1)
+  SELECT CAST(region AS VARCHAR) AS region, risk_score, year, total_crimes FROM nstats LEFT JOIN best ON true
+  WHERE region = 7 AND region IN (SELECT region FROM nprof)""")
 add("list_regions", f"WITH {NATION_PROFILE} SELECT region, total_population, male_population, female_population, literacy_rate, urban_pct, work_participation_rate FROM nprof")
 
 # --- aggregates, windows, sorts --------------------------------------------------------------------------------------
