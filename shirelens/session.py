@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +25,18 @@ def build_session(app: str = "shirelens", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset, one inside the warehouse.
+
+    Both are storage that driver and executors share; a machine-local temporary folder is never used.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if configured is None and current is None:
-        configured = tempfile.mkdtemp(prefix="shirelens-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = f"{warehouse.rstrip('/')}/_shared"
     if current is None:
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
@@ -47,15 +52,13 @@ def materialize(df: DataFrame, label: str, balance: bool = False) -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
     Unlike a cached or locally checkpointed frame it survives the loss of any executor, and reading it
-    back gives the planner true sizes and column pruning.  With ``balance``, a table of fewer files than there
-    are cores is dealt out again, for steps that compute far more than they read; larger tables are left alone.
+    back gives the planner true sizes and column pruning.  With ``balance``, the table is dealt out evenly before it is
+    written, for steps that compute far more than they read.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return out.repartition(cores) if balance and len(out.inputFiles()) < cores else out
+    (df.repartition(spark.sparkContext.defaultParallelism) if balance else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
