@@ -5,10 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-
-
-from . import exact_dedup, packing
-from .common import table
+from . import bpe, exact_dedup, language, packing, quality
+from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
 
@@ -36,3 +34,27 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, h AS text_sha256
 FROM t WINDOW w AS (PARTITION BY h ORDER BY cp DESC, doc_id)
 """
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id("doc_id") % 4 == 2
+    model = language.fit(docs.where(~held))
+    got = language.predict(docs, model, keep=[held.alias("held_out")])
+    return got.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op7_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = crc_of_id("doc_id") % 5 == 0
+    model = quality.fit(docs, labels.where(~held))
+    got = quality.score(docs, model, keep=[held.alias("held_out")])
+    return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
