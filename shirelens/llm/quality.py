@@ -37,12 +37,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at, owner = at[inside], owner[inside]
     gram = mix(range_hash(prefix, at, at + 3) ^ U64(0x5BF03635)) >> U64(64 - BUCKET_BITS)
     n = len(offsets) - 1
-    where, first_word, first_gram = np.zeros(n + 1, np.int64), np.searchsorted(row, np.arange(n + 1)), np.searchsorted(owner, np.arange(n + 1))
-    where[:] = first_word + first_gram
-    out = np.empty(len(word) + len(gram), np.int64)
-    out[np.arange(len(word)) + first_gram[row]] = word
-    out[np.arange(len(gram)) + first_word[owner + 1]] = gram
-    return out, where
+    kinds = [(word, row), (_recurrence(word, row), row), (gram, owner)]
+    first = [np.searchsorted(r, np.arange(n + 1)) for _, r in kinds]
+    out = np.empty(sum(len(x) for x, _ in kinds), np.int64)
+    for k, (x, r) in enumerate(kinds):  # texts in order, and each text's features by kind
+        out[np.arange(len(x)) + sum(f[r + 1] for f in first[:k]) + sum(f[r] for f in first[k + 1:])] = x
+    return out, sum(first)
+
+
+def _recurrence(word: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Bucket of the n-gram "this word, and the same word so many words ago", the words left out and the gap on a log scale.
+
+    Averages of word vectors alone do not tell a text from one that says the same again and again.
+    """
+    order = np.lexsort((word, row))
+    same = (word[order][1:] == word[order][:-1]) & (row[order][1:] == row[order][:-1])
+    gap = np.zeros(len(word), np.int64)
+    gap[order[1:][same]] = np.diff(order)[same]
+    code = np.where(gap > 0, np.ceil(np.log2(np.maximum(gap, 1))) + 1, 0).astype(U64)
+    return mix(code + U64(0x7265)) >> U64(64 - BUCKET_BITS)
 
 
 def _weights(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
