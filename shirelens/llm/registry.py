@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality
+from . import bpe, exact_dedup, fingerprints, language, packing, quality
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -58,3 +58,10 @@ def op8_quality(spark, sf_dir):
     model = quality.fit(docs, labels.where(~held))
     got = quality.score(docs, model, keep=[held.alias("held_out")])
     return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_fingerprints(spark, sf_dir):
+    got = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
