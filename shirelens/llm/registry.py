@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language, packing, quality
+from . import bpe, exact_dedup, fingerprints, language, packing, quality, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -65,3 +65,8 @@ def op9_fingerprints(spark, sf_dir):
     got = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                       "near_edited", "near_next")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
