@@ -195,3 +195,48 @@ def array_pieces(counts: np.ndarray, pieces: int = 64) -> pa.RecordBatch:
     step = len(counts) // pieces
     rows = [zlib.compress(np.ascontiguousarray(counts[i * step:(i + 1) * step], np.uint32), 1) for i in range(pieces)]
     return pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "counts": pa.array(rows, pa.binary())})
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of complete groups, from batches in which equal keys follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.asarray(batch.column(key))
+        at = int(np.argmax(k == k[-1]))  # where the last group begins
+        same = bool(held) and held[-1].column(key)[0].as_py() == k[-1]
+        if at or (held and not same):
+            yield pa.Table.from_batches([*held, *([batch.slice(0, at)] if at else [])])
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def boundaries(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+class Links:
+    """Union-find over positions; roots are the smallest positions."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        if i == j:
+            return False
+        self.up[max(i, j)] = min(i, j)
+        return True

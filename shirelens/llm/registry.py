@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language, packing, quality, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, quality, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -70,3 +70,8 @@ def op9_fingerprints(spark, sf_dir):
 @query
 def op2_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
