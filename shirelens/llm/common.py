@@ -41,8 +41,7 @@ FOLDED[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_BASE = U64(0xD6E8FEB86659FD93)
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
 
 def powers(base: int | U64, n: int) -> np.ndarray:
@@ -53,30 +52,29 @@ def powers(base: int | U64, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of each hash base and of its inverse, grown on demand."""
 
-    up = powers(_BASE, 1)
-    down = powers(_INVERSE, 1)
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * CHUNK)
-            cls.up, cls.down = powers(_BASE, size), powers(_INVERSE, size)
-        return cls.up, cls.down
+    def get(cls, n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+        if family not in cls.known or len(cls.known[family][0]) < n:
+            base, size = _BASES[family], max(n, CHUNK + 4096)
+            cls.known[family] = powers(base, size), powers(pow(int(base), -1, 1 << 64), size)
+        return cls.known[family]
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
+def prefix_hashes(values: np.ndarray, family: int = 0) -> np.ndarray:
     """P[i] = sum of values[j] * base**j for j < i, modulo 2**64."""
-    up, _ = _Powers.get(len(values) + 1)
+    up, _ = _Powers.get(len(values) + 1, family)
     out = np.zeros(len(values) + 1, U64)
     np.cumsum(values * up[:len(values)], out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """Position-independent polynomial hash of each [start, end)."""
-    _, down = _Powers.get(len(prefix))
+    _, down = _Powers.get(len(prefix), family)
     return (prefix[end] - prefix[start]) * down[start]
 
 
@@ -133,7 +131,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.n
     m = len(h) - width + 1
     combined = np.zeros(max(m, 0), U64)
     for k in range(width):
-        combined = (combined + h[k:k + m] if m > 0 else combined) * _BASE
+        combined = (combined + h[k:k + m] if m > 0 else combined) * _BASES[0]
     combined = mix(combined)
     for i in range(n_rows):
         a, b = int(first[i]), int(first[i + 1])
@@ -149,7 +147,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.n
             acc = U64(b - a)
             with np.errstate(over="ignore"):
                 for x in h[a:b]:
-                    acc = (acc + x) * _BASE
+                    acc = (acc + x) * _BASES[0]
             yield mix(np.array([acc], U64))
         else:
             yield np.zeros(0, U64)
@@ -240,3 +238,38 @@ class Links:
             return False
         self.up[max(i, j)] = min(i, j)
         return True
+
+
+def by_part(df: DataFrame, key: str = "part") -> DataFrame:
+    """Rows dealt out by ``key``, equal keys one after the other."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
+#: Bits of the bitmap of ``maybe_in``.
+FILTER_BITS = 20
+
+
+def maybe_in(keys: DataFrame, column: str, invert: bool = False):
+    """For ``mapInArrow``: passes every row whose ``column`` is among ``keys``, and few others; ``invert`` passes the rest.
+
+    The keys become a bitmap of fixed size.  It thins a shuffle and decides nothing: what it lets through is joined as usual.
+    """
+    def run(batches):
+        there = np.zeros(1 << FILTER_BITS, np.int64)
+        for batch in batches:
+            there[_cell(batch.column(0))] = 1
+        yield array_pieces(there)
+
+    def _cell(values: pa.Array) -> np.ndarray:
+        return (mix(np.asarray(values).astype(np.int64).view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+    there = sum_of_arrays(keys.select(column).mapInArrow(run, "piece int, counts binary"), 1 << FILTER_BITS) > 0
+    bits = keys.sparkSession.sparkContext.broadcast(np.packbits(there))  # 2**FILTER_BITS bits
+
+    def passes(batches):
+        seen = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[_cell(batch.column(column))] != invert))
+
+    return passes

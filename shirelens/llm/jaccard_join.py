@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .common import Links, U64, array_pieces, boundaries, buffers, chunks, mix, shingles, sum_of_arrays, whole_groups
+from .common import Links, U64, array_pieces, boundaries, buffers, by_part, chunks, maybe_in, mix, shingles, sum_of_arrays, whole_groups
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 20
@@ -207,15 +207,10 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
         "same", F.sum(F.xxhash64("node").bitwiseAND((1 << 40) - 1)).over(w))
     blocks = blocks.select("members", "same", "node").distinct()
     blocks = _split(blocks, "members", ["members", "same"]).select("part", "node").join(classes.select("node", "n", "bits"), "node")
-    pairs = _by_part(blocks).mapInArrow(_candidate_edges(percent), "src long, dst long")
+    pairs = by_part(blocks).mapInArrow(_candidate_edges(percent), "src long, dst long")
     return connected_components(pairs)
 
 
-def _by_part(df: DataFrame) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "part").sortWithinPartitions("part")
-
-
 # --- links -------------------------------------------------------------------------------------------------------------
 
 def _verified_edges(width: int, percent: int):
@@ -248,30 +243,8 @@ def _verified_edges(width: int, percent: int):
     return run
 
 
-def _maybe_in(spark: SparkSession, keys: DataFrame, column: str):
-    """A filter that passes every value of ``column`` in ``keys`` and few others, from a bitmap of fixed size."""
-    def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            h = mix(np.asarray(batch.column(0)).astype(np.int64).view(U64)) >> U64(64 - SKETCH_BITS)
-            counts[h.astype(np.int64)] = 1
-        yield array_pieces(counts)
-
-    there = sum_of_arrays(keys.select(column).mapInArrow(run, "piece int, counts binary"), 1 << SKETCH_BITS) > 0
-    bits = spark.sparkContext.broadcast(np.packbits(there))  # 2**SKETCH_BITS bits
-
-    def passes(batches):
-        seen = np.unpackbits(bits.value).astype(bool)
-        for batch in batches:
-            h = mix(np.asarray(batch.column(column)).astype(np.int64).view(U64)) >> U64(64 - SKETCH_BITS)
-            yield batch.filter(pa.array(seen[h.astype(np.int64)]))
-
-    return passes
-
-
 def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(<id_col>, n_shingles, component_id)`` per row of ``df``."""
-    spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     counts = shingle_counts(rows, width)
@@ -284,11 +257,11 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clusters = candidate_clusters(classes, percent)
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
     wanted = materialize(sized.join(classes.select("node", "id", "text_hash"), "node"), "clusters")
-    passes = _maybe_in(spark, wanted, "text_hash")
+    passes = maybe_in(wanted, "text_hash")
     texts = rows.mapInArrow(passes, "id long, text string, text_hash long")
     parts = _split(wanted, "members", ["component"]).select("part", "node", F.col("id").alias("_id"), F.col("text_hash").alias("_h"))
     met = texts.join(parts, (F.col("text_hash") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))).select("part", "node", "text")
-    links = connected_components(_by_part(met).mapInArrow(_verified_edges(width, percent), "src long, dst long"))
+    links = connected_components(by_part(met).mapInArrow(_verified_edges(width, percent), "src long, dst long"))
 
     named = classes.select(*key, "node", "least_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, quality, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, quality, suffix_dedup, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,9 @@ def op2_warc(spark, sf_dir):
 @query
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
