@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, quality, suffix_dedup, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, suffix_dedup, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -81,3 +81,9 @@ def op6_jaccard_join(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
