@@ -243,8 +243,8 @@ def _verified_edges(width: int, percent: int):
     return run
 
 
-def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(<id_col>, n_shingles, component_id)`` per row of ``df``."""
+def _classes(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``(id, text_hash, n_shingles, component, component_id)`` per row of ``df``; ``component`` is null for an empty set."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     counts = shingle_counts(rows, width)
@@ -257,14 +257,37 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clusters = candidate_clusters(classes, percent)
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
     wanted = materialize(sized.join(classes.select("node", "id", "text_hash"), "node"), "clusters")
-    passes = maybe_in(wanted, "text_hash")
-    texts = rows.mapInArrow(passes, "id long, text string, text_hash long")
+    texts = rows.mapInArrow(maybe_in(wanted, "text_hash"), "id long, text string, text_hash long")
     parts = _split(wanted, "members", ["component"]).select("part", "node", F.col("id").alias("_id"), F.col("text_hash").alias("_h"))
     met = texts.join(parts, (F.col("text_hash") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))).select("part", "node", "text")
     links = connected_components(by_part(met).mapInArrow(_verified_edges(width, percent), "src long, dst long"))
 
     named = classes.select(*key, "node", "least_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(names, "component").select(*key, "component_id")
-    return profile.select("id", *key).join(named, key, "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = materialize(named.join(names, "component").select(*key, "component", "component_id"), "components")
+    return profile.select("id", "text_hash", *key).join(named, key, "left").select(
+        "id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
+
+
+def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``(<id_col>, n_shingles, component_id)`` per row of ``df``."""
+    return _classes(df, id_col, text_col, width, percent).select(
+        F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, all columns, one per component: that of the smallest id; rows with an empty set all stay.
+
+    Rows are found again by id and text, so of rows that repeat both one stays.
+    """
+    key = ["_keep_id", "_keep_null", "_keep_hash"]
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull(), text_hash]
+    classes = _classes(df, id_col, text_col, width, percent)
+    best = classes.where("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "text_hash")).alias("b"))
+    dropped = classes.where("n_shingles > 0").select("component", "id", "text_hash").join(best, "component").where(
+        (F.coalesce("id", F.lit(0)) != F.col("b.id")) | (F.col("id").isNull() != F.col("b.none")) | (F.col("text_hash") != F.col("b.text_hash")))
+    dropped = dropped.select(F.coalesce("id", F.lit(0)).alias(key[0]), F.col("id").isNull().alias(key[1]), F.col("text_hash").alias(key[2]))
+    rows = df.select("*", *[c.alias(k) for c, k in zip(own, key)]).join(dropped.distinct(), key, "left_anti")
+    return rows.dropDuplicates(key).drop(*key)

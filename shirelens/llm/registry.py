@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, suffix_dedup, warc
 from .common import crc_of_id, table
 
@@ -87,3 +89,8 @@ def op10_suffix_dedup(spark, sf_dir):
 def op4_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
