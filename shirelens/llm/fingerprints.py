@@ -22,8 +22,9 @@ BITS = 8
 WORDS = 5
 _SHIFT = 64 - (BINS - 1).bit_length()
 _HEX = BITS // 4
-#: Rows of a bucket of neighbouring ids.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket of neighbouring ids, and the most cells that the range of ids is cut into to make buckets.
+BUCKET_ROWS = 5_000
+CELLS = 1 << 16
 
 
 def _text(name: str) -> Column:
@@ -66,18 +67,35 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(corrected)
 
 
+def _with_bucket(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_bucket``, numbers that rise as ``order`` falls, each of about BUCKET_ROWS rows; null comes last.
+
+    The range of ids is cut into at most CELLS equal cells, and cells in a row make a bucket, so the table that maps them is bounded.
+    Where ids lie so close that a cell holds more rows than a bucket should, that bucket is larger and is sorted with spilling.
+    """
+    spark = df.sparkSession
+    low, high, rows = df.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(F.lit(1))).first()
+    if low is None:
+        return df.withColumn("_bucket", F.lit(0))
+    cells = max(1, min(CELLS, 8 * rows // BUCKET_ROWS))
+    step = max((high - low) / cells, 1.0)
+    df = df.withColumn("_cell", F.floor((F.lit(high) - F.col(order).cast("double")) / F.lit(step)).cast("int"))
+    counts = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()  # at most CELLS + 2 rows
+    total, pairs = 0, []
+    for r in sorted(counts, key=lambda r: (r["_cell"] is None, r["_cell"])):
+        pairs.append((-1 if r["_cell"] is None else r["_cell"], total // BUCKET_ROWS))
+        total += r["n"]
+    table = spark.createDataFrame(pairs, "_known int, _bucket long")
+    return df.join(F.broadcast(table), F.coalesce("_cell", F.lit(-1)) == F.col("_known")).drop("_cell", "_known")
+
+
 def with_next(df: DataFrame, order: str, content: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``derive(df)`` with column ``_next``: a struct of ``content`` and the derived columns of the next row by descending ``order``.
 
-    The row after the last is the first.  Ids are cut into buckets at approximate quantiles, neighbours are found within a bucket, and
-    only the first row of each bucket travels to the bucket before it.  Null ids come last; ties follow the hash of the content.
+    The row after the last is the first.  Neighbours are found within buckets of ids, and only the first row of each bucket travels
+    to the bucket before it.  Null ids come last; ties follow the hash of the content.
     """
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    cuts = sorted({float(x) for x in df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.1 / buckets)}) if buckets > 1 else []
-    bounds = F.array(*[F.lit(x).cast("double") for x in cuts]) if cuts else F.array().cast("array<double>")
-    # buckets count downwards from the largest ids
-    number = F.size(F.filter(bounds, lambda b: b > F.col(order).cast("double")))
-    df = df.withColumn("_bucket", F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(number))
+    df = _with_bucket(df, order)
     tie = F.xxhash64(content)
     rows = derive(df)
     made = [content, *[c for c in rows.columns if c not in df.columns]]
@@ -85,11 +103,11 @@ def with_next(df: DataFrame, order: str, content: str, derive: Callable[[DataFra
 
     first = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("k"), (-tie.cast("decimal(20,0)")).alias("t"))
     heads = df.groupBy("_bucket").agg(F.max_by(content, first).alias(content))
-    present = sorted(r[0] for r in df.select("_bucket").distinct().collect())  # as many as there are buckets
-    if not present:
-        return rows.drop("_bucket").withColumn("_next", F.struct(*made))
-    before = F.create_map(*[F.lit(x) for k, b in enumerate(present) for x in (b, present[k - 1])])
-    heads = derive(heads.withColumn("_to", F.element_at(before, F.col("_bucket")))).select("_to", F.struct(*made).alias("_head"))
+    present = df.select("_bucket").distinct()
+    # the bucket before each, that before the first being the last; one row per bucket
+    order_of = W.orderBy(F.col("_bucket"))
+    before = present.withColumn("_to", F.coalesce(F.lag("_bucket").over(order_of), F.max("_bucket").over(W.partitionBy(F.lit(0)))))
+    heads = derive(heads.join(before, "_bucket").drop("_bucket")).select("_to", F.struct(*made).alias("_head"))
     got = rows.withColumn("_next", following).join(heads, F.col("_bucket") == F.col("_to"), "left")
     return got.withColumn("_next", F.coalesce("_next", "_head")).drop("_head", "_to", "_bucket")
 
