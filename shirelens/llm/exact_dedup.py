@@ -26,9 +26,9 @@ from .common import tasks_for
 FAN_BITS = 4
 #: Entries of a range at the root of its tree, on average.
 RANGE_ROWS = 200_000
-#: Entry of a run: digest as four big-endian words (numeric order is byte order), length of the compared text, then the row to
+#: Entry of a run: digest as four numbers (their order is that of its bytes), length of the compared text, then the row to
 #: keep (code points, null flag, id, row number) and the rows counted.
-ENTRY = np.dtype([("d0", ">u8"), ("d1", ">u8"), ("d2", ">u8"), ("d3", ">u8"), ("size", "<i8"), ("cp", "<i8"), ("noid", "<i8"),
+ENTRY = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("size", "<i8"), ("cp", "<i8"), ("noid", "<i8"),
                   ("id", "<i8"), ("uid", "<i8"), ("n", "<i8")])
 RUN = "range int, run long, entries binary"
 _RUN = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("entries", pa.binary())])
