@@ -9,6 +9,7 @@ from .numeric import clip, or_default
 # Band edges and names, alert thresholds.
 BAND_EDGES = (75.0, 50.0, 25.0)
 ALERT_RISK, ALERT_CRITICAL, ALERT_ANOMALY = 65.0, 80.0, 0.70
+# Colours of bands, relations and groups.
 BAND_COLORS = {"critical": "darkred", "high": "red", "medium": "orange", "low": "green"}
 LINK_COLORS = {"same_gang": "#ff4d6d", "associate": "#ffd166", "shared_mo": "#4cc9f0"}
 DEFAULT_LINK_COLOR = "#94a3b8"
@@ -25,8 +26,18 @@ REQUEST_DEFAULTS = {
     "crime_growth_rate": 2.0,
     "crime_severity_score": 45.0,
 }
-# The request form fills these two differently from the scorer.
-FORM_DEFAULTS = {**REQUEST_DEFAULTS, "urban_pct": 35.0, "crime_growth_rate": 2.5}
+# Labels of features in explanations.
+FEATURE_LABELS = {
+    "population_density": "Population Density",
+    "crime_rate_per_100k": "Crime Rate / 100k",
+    "literacy_pct": "Literacy %",
+    "female_ratio": "Female Ratio",
+    "urban_pct": "Urban %",
+    "crime_growth_rate": "Crime Growth Rate",
+    "economic_activity_index": "Economic Activity Index",
+    "crime_severity_score": "Crime Severity Score",
+    "normalized_crime_index": "Normalized Crime Index",
+}
 
 
 def band(score: Column, inclusive: bool = True) -> Column:

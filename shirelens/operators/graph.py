@@ -45,10 +45,15 @@ def subgraph(nodes: DataFrame, edges: DataFrame, region: str | None = None, chec
     kept = region_nodes(nodes, region, check)
     groups = kept.select("grp").where(F.col("grp").isNotNull()).distinct()
     ordinal = sequential_ids(groups, ["grp"], "_ord")
-    shown = (kept.join(degree(edges), "node_id", "left").join(ordinal, "grp", "left")
+    ids = kept.select("node_id").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).join(ids, "node_id", "left_semi")  # degrees of kept nodes only
+    links = ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("links"))
+    shown = (kept.join(links, "node_id", "left").join(ordinal, "grp", "left")
              .withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
              .withColumn("size", S.node_size(F.col("links"))).withColumn("color", S.group_color(F.col("_ord"))).drop("_ord"))
     inner = induced_edges(edges, kept).withColumn("width", S.link_width(F.col("weight")))
+    if "kind" in edges.columns:
+        inner = inner.withColumn("color", S.link_color(F.col("kind")))
     return shown.select(*nodes.columns, "links", "size", "color"), inner
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import guarded_ratio, tail_sum, to_number_or_zero, total
+from ..functions.numeric import guarded_ratio, nan_to_null, tail_sum, to_number_or_zero, total
+from .keys import canonical_key
 
 # Census measure -> profile column.
 CENSUS_SUMS = {
@@ -59,18 +60,20 @@ def region_profile(census: DataFrame, unit: str, level: str = "Level", area: str
 
 def parse_stacked(raw: DataFrame, named: dict[str, str], first_year: int, state: str,
                   positional: list[str], drop_keys: list[str], grand_total: str = "total_crimes",
-                  fallback_sum: list[str] | None = None) -> DataFrame:
+                  fallback_sum: list[str] | None = None, aliases: DataFrame | None = None,
+                  pseudo_regions: list[str] | None = None) -> DataFrame:
     """Union of the two layouts stacked in one ragged file read as strings.
 
     Layout 1 (``first_year`` in the second column) takes its measures by column *name*; layout 2 (``state`` in
     the second column) by *position* from the seventh column on, its total being the row-wise tail sum.  A missing
-    total in layout 1 becomes the sum of ``fallback_sum``.
+    total in layout 1 becomes the sum of ``fallback_sum``.  With ``aliases`` the regions get their canonical names, and those of
+    ``pseudo_regions`` are left out afterwards.  NaN counts as nothing, and a padded number of layout 2 is none.
     """
     cols = [F.col(f"`{c}`") for c in raw.columns]
     c0, c1 = F.trim(cols[0]), F.trim(cols[1])
     measures = [m for m in named.values() if m != grand_total]
 
-    by_name = {m: F.coalesce(F.col(f"`{src}`").try_cast("double"), F.lit(0.0)) if src in raw.columns else F.lit(0.0)
+    by_name = {m: F.coalesce(nan_to_null(F.col(f"`{src}`").try_cast("double")), F.lit(0.0)) if src in raw.columns else F.lit(0.0)
                for src, m in named.items()}
     partial = total([by_name[m] for m in fallback_sum or measures])
     layout1 = raw.where((c1 == str(first_year)) & c0.isNotNull() & ~c0.isin(*drop_keys)).select(
@@ -80,10 +83,13 @@ def parse_stacked(raw: DataFrame, named: dict[str, str], first_year: int, state:
     region = F.trim(cols[5])
     layout2 = raw.where((c1 == state) & c0.rlike(r"^[0-9]+$") & region.isNotNull() & ~region.isin(*drop_keys)).select(
         region.alias("region"), c0.cast("int").alias("year"),
-        *[(to_number_or_zero(F.trim(cols[6 + positional.index(m)])) if m in positional else F.lit(0.0)).alias(m)
+        *[(to_number_or_zero(cols[6 + positional.index(m)]) if m in positional else F.lit(0.0)).alias(m)
           for m in measures],
-        tail_sum([F.trim(c) for c in cols[6:]]).alias(grand_total))
-    return layout1.unionByName(layout2)
+        tail_sum(cols[6:]).alias(grand_total))
+    both = layout1.unionByName(layout2)
+    if aliases is not None:
+        both = canonical_key(both, "region", aliases)
+    return drop_regions(both, "region", pseudo_regions) if pseudo_regions else both
 
 
 def yearly_statistics(incidents: DataFrame, measures: list[str], region: str = "region", year: str = "year") -> DataFrame:

@@ -28,20 +28,24 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+#: A row is offered to a tree when its hash falls below this many times the sample's share, so that far more than ``sample`` rows are.
+OFFER = 8
+
+
 def training_sample(df: DataFrame, id_col: str, cols: list[str], n_trees: int, sample: int, seed: int) -> DataFrame:
-    """``(tree, id, x)``: the ``sample`` rows of smallest hash per tree.
+    """``(tree, id, x)``: per tree the ``sample`` rows of smallest hash, out of all rows.
 
-    Trees draw from a pool of about ``n_trees * sample`` rows picked by one hash per row, so the rows that are
-    multiplied by the number of trees stay bounded whatever the table's size.
+    Each row finds the trees whose hash of it is small enough to matter before it is multiplied, so about ``OFFER * sample`` rows per tree are
+    shuffled whatever the table's size, and the smallest hashes are among them.  A row with a NULL feature takes no part in fitting.
     """
-    pool_size = float(n_trees * sample)
     x = F.array(*[F.col(c).cast("double") for c in cols])
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    chance = hash_int(F.lit(seed), F.lit("pool"), F.col(id_col)) / F.lit(4294967296.0)
-    pool = df.where(chance * n < pool_size).select(F.col(id_col).alias("id"), x.alias("x"))
-    trees = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    draw = hash_int(F.lit(seed), F.col("tree"), F.col("id"))
-    ranked = trees.withColumn("_r", F.row_number().over(W.partitionBy("tree").orderBy(draw, "id")))
+    whole = df.where(~F.exists(x, lambda v: v.isNull()))
+    n = whole.agg(F.count(F.lit(1)).alias("n")).scalar()
+    draw = lambda tree: hash_int(F.lit(seed), tree, F.col("id"))
+    rows = whole.select(F.col(id_col).alias("id"), x.alias("x"), n.alias("n"))
+    offered = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) / F.lit(4294967296.0) * F.col("n") < float(OFFER * sample))
+    trees = rows.select("id", "x", F.explode(offered).alias("tree"))
+    ranked = trees.withColumn("_r", F.row_number().over(W.partitionBy("tree").orderBy(draw(F.col("tree")), "id")))
     return ranked.where(F.col("_r") <= sample).select("tree", "id", "x")
 
 
@@ -87,9 +91,12 @@ def fit(df: DataFrame, id_col: str, cols: list[str], n_trees: int = 100, sample:
 def score(df: DataFrame, nodes: DataFrame, cols: list[str], digits: int = SCORE_DIGITS, out: str = "score") -> DataFrame:
     """Add the isolation score (higher is more anomalous).
 
-    The node table is bounded by trees x 2 x sample rows, which is why it may travel with the function.
+    The node table is bounded by trees x 2 x sample rows, which is why it may travel with the function.  A NULL feature goes left
+    at every split on it; without a model all scores are NULL.
     """
     model = nodes.toPandas().sort_values(["tree", "node"])
+    if model.empty:  # nothing was there to learn from
+        return df.withColumn(out, F.lit(None).cast("double"))
     n_trees = int(model["tree"].nunique())
     width = int(model["node"].max()) + 1
     tree_no = pd.factorize(model["tree"], sort=True)[0]

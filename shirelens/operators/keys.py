@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import canonical_name, is_blank, match_key
 from ..session import checkpoint
@@ -13,15 +13,20 @@ def canonical_key(df: DataFrame, key: str, aliases: DataFrame, alias: str = "ali
     """Replace raw names by canonical ones; many raw names may share one.
 
     ``aliases`` must hold one row per upper-cased alias.  No broadcast is forced: Spark picks it by size, and
-    blank keys are kept out of the join so that missing names cannot form a hot key.
+    blank keys get keys of many values that match nothing, so that missing names do not all meet in one task.
     """
     lookup = aliases.select(F.upper(F.trim(alias)).alias("_alias"), F.col(canonical).alias("_canonical"))
-    probe = F.when(~is_blank(F.col(key)), F.upper(F.trim(key)))
+    probe = F.when(~is_blank(F.col(key)), F.upper(F.trim(key))).otherwise(_no_match())
     joined = df.withColumn("_probe", probe).join(lookup, F.col("_probe") == F.col("_alias"), "left")
     name = canonical_name(F.col(key), F.col("_canonical"))
     return joined.withColumn(out or key, name).drop("_probe", "_alias", "_canonical")
 
 
+def _no_match() -> Column:
+    """A key that no name has, of many values."""
+    return F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+
+
 def lookup_or_default(df: DataFrame, key: str, table: DataFrame, value: str, default: float) -> DataFrame:
     """Left lookup; the default stands in for unknown keys and ``<value>_imputed`` marks it."""
     found = df.join(table.select(key, F.col(value).alias("_found")), key, "left")
@@ -32,7 +37,7 @@ def lookup_or_default(df: DataFrame, key: str, table: DataFrame, value: str, def
 def attach_by_name(df: DataFrame, key: str, table: DataFrame, table_key: str, columns: list[str], how: str = "left") -> DataFrame:
     """Join on the case-insensitive trimmed name: coordinates, deployments, indicators."""
     side = table.select(match_key(F.col(table_key)).alias("_k"), *columns)
-    return df.withColumn("_n", match_key(F.col(key))).join(side, F.col("_n") == F.col("_k"), how).drop("_n", "_k")
+    return df.withColumn("_n", F.coalesce(match_key(F.col(key)), _no_match())).join(side, F.col("_n") == F.col("_k"), how).drop("_n", "_k")
 
 
 def unmatched_names(df: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:

@@ -14,8 +14,14 @@ def pick_row(df: DataFrame, keys: list[str], order: Column | str, largest: bool)
     the same order and so come from the same row.  Text needs the struct form, whose partial aggregate sorts.
     """
     by = F.max_by if largest else F.min_by
+    order = F.col(order) if isinstance(order, str) else order
+
+    def pick(what):
+        """Rows without an order come last; where a key has no other, its first row stands for it."""
+        return F.when(F.count(order) > 0, by(what, order)).otherwise(F.first(what))
+
     rest = [f for f in df.schema if f.name not in keys]
     if all(isinstance(f.dataType, _FIXED_WIDTH) for f in rest):
-        return df.groupBy(*keys).agg(*[by(f.name, order).alias(f.name) for f in rest]).select(*df.columns) if rest else df.distinct()
-    picked = df.groupBy(*keys).agg(by(F.struct(*[f.name for f in rest]), order).alias("_row"))
+        return df.groupBy(*keys).agg(*[pick(F.col(f.name)).alias(f.name) for f in rest]).select(*df.columns) if rest else df.distinct()
+    picked = df.groupBy(*keys).agg(pick(F.struct(*[f.name for f in rest])).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])

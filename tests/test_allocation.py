@@ -4,7 +4,6 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from shirelens import fixed_values as fv
 from shirelens.operators import allocation as al
 
 SPOTS = "center_lat double, center_lon double, risk_score double"
@@ -82,8 +81,7 @@ def test_bases_at_one_place_count_once(spark):
 
 
 @pytest.mark.parametrize("k", [5, 10])
-def test_published_bases(spark, k):
-    bases = fv.base_table(spark)
-    assert bases.count() == 39
-    spots = spark.createDataFrame([(12.9696, 77.5954, 100.0), (13.0124, 77.5390, 0.22)], SPOTS)
+def test_units_reach_a_dense_spot(spark, k):
+    bases = spark.createDataFrame([(f"b{i}", 10.0 + i * 0.05, 20.0, f"n{i}") for i in range(40)], "base_id string, base_lat double, base_lon double, base_name string")
+    spots = spark.createDataFrame([(10.001, 20.001, 100.0), (10.5, 20.5, 0.22)], SPOTS)
     assert al.max_coverage(spots, bases, k, 3.0)[1].first().covered_pct >= 99.0

@@ -35,7 +35,7 @@ def test_contributions_add_up(table, forest):
     assert {r.feature for r in importance[:2]} == {"a", "b"} and importance[2].feature == "c"
 
 
-def test_shapley_equals_enumeration(spark, table, forest):
+def test_shapley_equals_enumeration(spark, table, forest, monkeypatch):
     """Against the definition: the value of a coalition follows known splits and averages unknown ones by cover."""
     nodes = rg.node_table(forest, spark).toPandas()
     trees = [{r.id: r for r in t.itertuples()} for _, t in nodes.groupby("tree")]
@@ -49,7 +49,11 @@ def test_shapley_equals_enumeration(spark, table, forest):
         return sum(tree[c].cover / n.cover * value(tree, c, x, known) for c in (n.left, n.right))
 
     x = np.array(table.orderBy("k").select("a", "b", "c").limit(5).collect())
-    fast = rg.shapley_of(x, rg.leaf_paths(nodes), len(trees))
+    per_tree = [{k: t[k].to_numpy() for k in t.columns} for _, t in nodes.groupby("tree")]
+    monkeypatch.setattr(rg, "CELLS", 64)
+    fast = sum(rg.shapley_of(x, rg.leaf_paths(t)) for t in per_tree) / len(trees)
+    monkeypatch.setattr(rg, "TABLE_FEATURES", 1)
+    assert np.allclose(fast, sum(rg.shapley_of(x, rg.leaf_paths(t)) for t in per_tree) / len(trees))
     for row, got in zip(x, fast):
         for j in range(3):
             rest = [i for i in range(3) if i != j]
@@ -72,10 +76,22 @@ def test_leaking_target_is_refused(table):
         rg.fit_forest(table, ["a", "y"], "y")
 
 
-def test_too_large_a_forest_is_refused(table, forest, monkeypatch):
-    monkeypatch.setattr(rg, "MAX_MODEL_NODES", 3)
-    with pytest.raises(ValueError, match="max_depth"):
-        rg.explain_rows(forest, table, "k", ["a", "b", "c"])
+def test_rows_and_trees_are_split_into_blocks(table, forest, monkeypatch):
+    whole = {r.k: r.contributions for r in rg.explain_rows(forest, table, "k", ["a", "b", "c"], digits=6).collect()}
+    monkeypatch.setattr(rg, "BLOCK_ROWS", 7)
+    assert {r.k: r.contributions for r in rg.explain_rows(forest, table, "k", ["a", "b", "c"], digits=6).collect()} == whole
+
+
+def test_fit_rows_bound_what_is_learned_from(table):
+    small = rg.fit_forest(table, ["a", "b", "c"], "y", n_trees=3, max_depth=30, fit_rows=10)
+    assert small.nodes.count() <= 3 * 19
+    whole = rg.fit_forest(table, ["a", "b", "c"], "y", n_trees=5, max_depth=30, fit_rows=10_000)
+    assert rg.predict(whole, table, ["a", "b", "c"]).where("abs(prediction - y) > 2").count() < table.count() / 4
+    got = rg.explain_rows(whole, table, "k", ["a", "b", "c"], digits=9)
+    gap = got.select(F.max(F.abs(F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["shap_value"]) - F.col("model_output"))))
+    assert gap.first()[0] < 1e-6
+    with pytest.raises(ValueError, match="also a feature"):
+        rg.fit_forest(table.withColumn("z_y", F.col("y")), ["a", "z_y"], "y")
 
 
 def test_isolation_finds_the_odd_one(spark):

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from shirelens import fixed_values as fv
 from shirelens.functions import geo, numeric as N, scores as S, text as X
 from shirelens.operators import features as feat, incidents as inc, keys as K, quality as qa, scoring as sc
 
@@ -34,9 +33,10 @@ def test_title_case(spark, raw, name):
 
 
 def test_canonical_key(spark):
-    df = spark.createDataFrame([("  bengaluru city ",), ("Bangalore Commr.",), ("K.G.F.",), ("  ",), (None,), ("new-town",)], "d string")
-    got = rows(K.canonical_key(df, "d", fv.alias_table(spark), out="c").select("c"))
-    assert [r[0] for r in got] == ["Bangalore", "Bangalore", "Kolar", "Unknown", "Unknown", "New-Town"]
+    aliases = spark.createDataFrame([("OLD CITY", "Newcity"), ("NEWCITY COMMR.", "Newcity"), ("H.I.J.", "Hill")], "alias string, canonical string")
+    df = spark.createDataFrame([("  old city ",), ("Newcity Commr.",), ("H.I.J.",), ("  ",), (None,), ("new-town",)], "d string")
+    got = rows(K.canonical_key(df, "d", aliases, out="c").select("c"))
+    assert [r[0] for r in got] == ["Newcity", "Newcity", "Hill", "Unknown", "Unknown", "New-Town"]
 
 
 @pytest.mark.parametrize("score,low,high", [(75.0, "critical", "HIGH"), (75.01, "critical", "CRITICAL"), (50.0, "high", "MEDIUM"),
@@ -90,7 +90,7 @@ def test_heuristic_defaults(spark):
     df = spark.createDataFrame([(None, None, None, None)], "crime_rate_per_100k double, literacy_pct double, crime_growth_rate double, crime_severity_score double")
     r = sc.heuristic_score(df).first()
     assert (r.crime_forecast, r.anomaly_score, r.hotspot_score, r.risk_level) == (153.0, 0.04, 37.63, "MEDIUM")
-    assert sc.heuristic_score(df, S.FORM_DEFAULTS).first().crime_forecast == 153.75
+    assert sc.heuristic_score(df, {**S.REQUEST_DEFAULTS, "urban_pct": 35.0, "crime_growth_rate": 2.5}).first().crime_forecast == 153.75
 
 
 def test_profile_counts_nan_null_inf_and_duplicates(spark):
@@ -125,13 +125,20 @@ def test_profile_falls_back_without_block_rows(spark):
 
 
 def test_stacked_file(spark):
-    cols = ["DISTRICT", "YEAR", *[c for c in fv.INCIDENT_COLUMNS if c != "MURDER"][:3], "P5", "MURDER", "P7"]
-    data = [("Bidar", "2013", "1", "2", "3", None, "4", None), ("ZZ TOTAL", "2013", "9", "9", "9", None, "9", None),
-            ("2016", "Stateland", None, None, None, "Bidar", "5", "6.5"), ("2016", "Stateland", None, None, None, "Total", "5", "6")]
+    cols = ["DISTRICT", "YEAR", "ALPHA", "BETA", "GAMMA", "P5", "DELTA", "P7"]
+    named = {"DELTA": "delta", "ALPHA": "alpha", "BETA": "beta", "GAMMA": "gamma", "ALL": "total_crimes"}
+    data = [("Ash", "2013", "1", "2", "3", None, "4", None), ("ZZ TOTAL", "2013", "9", "9", "9", None, "9", None),
+            ("2016", "Stateland", None, None, None, "Ash", "5", "6.5"), ("2016", "Stateland", None, None, None, "Total", "5", "6"),
+            ("2017", "Stateland", None, None, None, "Ash Town", " 5 ", "6"), ("Ash", "2013", "NaN", "1", None, None, None, None),
+            ("Trains", "2013", "1", "1", "1", None, "1", None)]
     df = spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in cols))
-    got = rows(inc.parse_stacked(df, fv.INCIDENT_COLUMNS, 2013, "Stateland", ["murder", "attempt_to_murder"], fv.NON_REGION_ROWS,
-                                 fallback_sum=fv.FALLBACK_MEASURES).select("region", "year", "murder", "attempt_to_murder", "total_crimes").orderBy("year"))
-    assert got == [("Bidar", 2013, 4.0, 1.0, 10.0), ("Bidar", 2016, 5.0, 6.5, 11.5)]
+    args = (df, named, 2013, "Stateland", ["delta", "alpha"], ["ZZ TOTAL", "Total"])
+    got = inc.parse_stacked(*args).where("region <> 'Trains'").select("region", "year", "delta", "alpha", "total_crimes")
+    assert sorted(rows(got)) == [("Ash", 2013, 0.0, 0.0, 1.0), ("Ash", 2013, 4.0, 1.0, 10.0), ("Ash", 2016, 5.0, 6.5, 11.5),
+                                 ("Ash Town", 2017, 0.0, 6.0, 6.0)]  # a padded number is no number, a NaN counts nothing
+    aliases = spark.createDataFrame([("ASH TOWN", "Ash"), ("TRAINS", "Railway")], "alias string, canonical string")
+    clean = inc.parse_stacked(*args, aliases=aliases, pseudo_regions=["Railway", "Unknown"])
+    assert {(r.region, r.year) for r in clean.collect()} == {("Ash", 2013), ("Ash", 2016), ("Ash", 2017)}
 
 
 def test_growth_is_zero_from_nothing(spark):
