@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shirelens.llm import exact_dedup, jaccard_join, language, packing, pii
-from shirelens.llm.common import crc_of_id
+from shirelens.llm.common import bounded_batches, crc_of_id
 from shirelens.session import materialize
 
 #: Shingles of five words, similarity of 0.8 or more.
@@ -25,6 +25,7 @@ NEAR = {"width": 5, "percent": 80}
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, labelled with it; the others go."""
+    bounded_batches(spark)
     model = language.fit(docs.where(crc_of_id("doc_id") % 4 != 2))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
     got = language.predict(docs, model, keep=[F.col("text"), F.col("lang"), *[F.col(f"`{c}`") for c in rest]])
@@ -39,11 +40,13 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id; rows without an id stay only where no row of the group has one."""
+    bounded_batches(spark)
     return jaccard_join.keep_one(docs, **NEAR)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind in brackets."""
+    bounded_batches(spark)
     clean = pii.redact(docs, pii.fit(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -52,6 +55,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

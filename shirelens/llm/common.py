@@ -11,13 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 #: Bytes of text handled at once inside a task; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Bytes of a batch that goes to Python.
+BATCH = 8 << 20
 
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold a few megabytes, however long the texts; by default it is as many rows as there are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,13 +29,12 @@ from .common import Links, U64, array_pieces, boundaries, buffers, by_part, chun
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 20
-#: 64-bit words of a bitmap.
-BITMAP = 16
+#: Bits of the shortest and the longest bitmap, as powers of two; in between a set has as many bits as elements, or up to twice as many.
+LEAST_BITS, MOST_BITS = 8, 20
 #: Members of a block or cluster that one task compares.
 LEAF_MAX = 2048
 #: Documents under a leaf node of the tree.
 LEAF = 16
-_HASH_BITS = BITMAP.bit_length() + 5
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -43,20 +42,50 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def bitmap_of(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITMAP * 64, bool)
-    out[(tokens >> U64(64 - _HASH_BITS)).astype(np.int64)] = True
+def resolution(sizes: np.ndarray) -> np.ndarray:
+    """Power of two of a set's bitmap.  A bitmap with few bits for its set is full and tells nothing, so bits grow with sizes."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def bitmap_of(tokens: np.ndarray, power: int | None = None) -> np.ndarray:
+    power = int(resolution(np.array(len(tokens)))) if power is None else power
+    out = np.zeros(1 << power, bool)
+    out[(tokens >> U64(64 - power)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(U64)
 
 
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bits: neighbouring bits become one."""
+    flags = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=-1, bitorder="little")
+    return np.packbits(flags[..., 0::2] | flags[..., 1::2], axis=-1, bitorder="little").view(U64)
+
+
+def connect(sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int, links: Links, accept=None) -> list[tuple[int, int]]:
+    """Joins among members of any size: a tree per bitmap length, and one for the members on both sides of each change of length."""
+    power = resolution(sizes)
+    made = []
+    for p in np.unique(power):
+        own = np.flatnonzero(power == p)
+        made += SignatureTree(sizes[own], np.stack([bitmaps[k] for k in own]), own).connect(percent, links, accept)
+        edge = 1 << int(p)
+        low = own[100 * sizes[own] >= percent * edge]
+        high = np.flatnonzero((power == p + 1) & (percent * sizes <= 100 * edge))
+        if len(low) and len(high):
+            bits = [bitmaps[k] for k in low] + list(halved(np.stack([bitmaps[k] for k in high])))
+            both = np.concatenate([low, high])
+            made += SignatureTree(sizes[both], np.stack(bits), both).connect(percent, links, accept)
+    return made
+
+
 # --- signature tree ----------------------------------------------------------------------------------------------------
 
 class SignatureTree:
     """Binary tree over members sorted by size; level 0 holds the leaves of LEAF members."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        self.sizes, self.bits = sizes[self.order], bits[self.order]
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, names: np.ndarray | None = None):
+        order = np.argsort(sizes, kind="stable")
+        self.sizes, self.bits = sizes[order], bits[order]
+        self.order = order if names is None else names[order]
         at = np.arange(0, len(sizes), LEAF)
         self.levels = [(np.bitwise_or.reduceat(self.bits, at, axis=0), np.bitwise_and.reduceat(self.bits, at, axis=0),
                         np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at))]
@@ -89,7 +118,7 @@ class SignatureTree:
         return i, j
 
     def connect(self, percent: int, links: Links, accept=None) -> list[tuple[int, int]]:
-        """Join members whose bound (and ``accept``, where given) reaches the threshold; returns the joins, by original position."""
+        """Join members whose bound (and ``accept``, where given) reaches the threshold; returns the joins, by name."""
         made = []
         left, right = self.leaf_pairs(percent)
         near = np.argsort(right - left, kind="stable")  # neighbours in size first
@@ -179,8 +208,8 @@ def _split(groups: DataFrame, size: str, keys: list[str]) -> DataFrame:
     return marked.withColumn("part", part).drop("_leaves", "_own", "_other")
 
 
-def _members(table: pa.Table, a: int, b: int, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).slice(a, b - a).to_pylist()), U64).reshape(b - a, -1)
+def _bitmaps(table: pa.Table, a: int, b: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, U64) for x in table.column("bits").slice(a, b - a).to_pylist()]
 
 
 def _candidate_edges(percent: int):
@@ -191,8 +220,8 @@ def _candidate_edges(percent: int):
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    tree = SignatureTree(n[a:b], _members(table, a, b, "bits"))
-                    out += [(int(node[a + p]), int(node[a + q])) for p, q in tree.connect(percent, Links(b - a))]
+                    made = connect(n[a:b], _bitmaps(table, a, b), percent, Links(b - a))
+                    out += [(int(node[a + p]), int(node[a + q])) for p, q in made]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())],
                                              names=["src", "dst"])
 
@@ -235,8 +264,8 @@ def _verified_edges(width: int, percent: int):
                     common = int((y[at] == x).sum())
                     return 100 * common >= percent * (len(x) + len(y) - common)
 
-                tree = SignatureTree(sizes, np.stack([bitmap_of(s) for s in sets]))
-                out += [(int(own[p]), int(own[q])) for p, q in tree.connect(percent, Links(len(own)), linked)]
+                made = connect(sizes, [bitmap_of(s) for s in sets], percent, Links(len(own)), linked)
+                out += [(int(own[p]), int(own[q])) for p, q in made]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())],
                                              names=["src", "dst"])
 

@@ -112,17 +112,24 @@ def test_jaccard_keep_one(edge, nothing):
     assert jaccard_join.keep_one(nothing).count() == 0 and jaccard_join.linked_classes(nothing).count() == 0
 
 
-def test_tree_bounds_lose_nothing():
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_tree_bounds_lose_nothing(percent):
+    """Sets of all sizes, on both sides of every change of the bitmap's length."""
     rng = np.random.default_rng(4)
-    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
-    sets = [np.unique(rng.choice(pool[:k % 300 + 20], 15 + k % 60)) for k in range(150)]
-    tree = jaccard_join.SignatureTree(np.array([len(s) for s in sets]), np.stack([jaccard_join.bitmap_of(s) for s in sets]))
-    links = jaccard_join.Links(len(sets))
-    similar = lambda p, q: 100 * len(np.intersect1d(sets[p], sets[q])) >= 60 * len(np.union1d(sets[p], sets[q]))
-    tree.connect(60, links, similar)
+    sets = []
+    for size in (3, 20, 240, 256, 257, 300, 500, 513, 1100):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64) << np.uint64(1)
+        for k in range(12):
+            sets.append(np.unique(np.concatenate([base[:size - k * size // 40], rng.integers(0, 1 << 63, k * size // 60).astype(np.uint64) << np.uint64(1)])))
+    sizes = np.array([len(s) for s in sets])
+    similar = lambda p, q: 100 * len(np.intersect1d(sets[p], sets[q])) >= percent * len(np.union1d(sets[p], sets[q]))
+    links, bound = jaccard_join.Links(len(sets)), jaccard_join.Links(len(sets))
+    jaccard_join.connect(sizes, [jaccard_join.bitmap_of(s) for s in sets], percent, links, similar)
+    jaccard_join.connect(sizes, [jaccard_join.bitmap_of(s) for s in sets], percent, bound)
     for p in range(len(sets)):
         for q in range(p):
-            assert not similar(p, q) or links.root(p) == links.root(q)
+            assert not similar(p, q) or (links.root(p) == links.root(q) and bound.root(p) == bound.root(q))
+    assert len({bound.root(p) for p in range(len(sets))}) >= 5  # unrelated sets stay apart by their bitmaps alone
 
 
 def brute_repeats(rows, length):
