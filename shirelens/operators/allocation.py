@@ -48,17 +48,19 @@ def coverage_groups(spots: DataFrame, bases: DataFrame, radii: list[float], spot
         F.sum("risk").cast(RISK_TYPE).alias("risk"), F.count(F.lit(1)).alias("n"))
 
 
-def _picked(picks: dict[float, list]) -> Column:
-    """Array of a radius' picked ids, from one map literal: the plan and its compiled code stay the same every round."""
-    entries = [f"{r!r}D, CAST(array({', '.join(str(int(p[0])) for p in v)}) AS array<bigint>)" for r, v in picks.items()]
-    return F.element_at(F.expr(f"map({', '.join(entries)})"), F.col("radius"))
+def _picked(picks: dict[float, list], id_type: T.DataType) -> Column:
+    """Array of a radius' picked ids, from one map literal: the plan stays the same every round."""
+    kind = T.ArrayType(id_type)
+    entries = [x for r, v in picks.items() for x in (F.lit(r), F.array(*[F.lit(p[0]) for p in v]).cast(kind))]
+    return F.element_at(F.create_map(*entries), F.col("radius"))
 
 
-PLAN_SCHEMA = T.StructType([
-    T.StructField("radius", T.DoubleType()), T.StructField("units", T.IntegerType()), T.StructField("base_id", T.LongType()),
-    T.StructField("gain", T.DecimalType(28, 2)), T.StructField("covered", T.DecimalType(28, 2)),
-    T.StructField("covered_spots", T.LongType()), T.StructField("la", T.DoubleType()), T.StructField("lo", T.DoubleType()),
-])
+def plan_schema(id_type: T.DataType) -> T.StructType:
+    """Columns of a plan; bases keep the type of their ids."""
+    return T.StructType([
+        T.StructField("radius", T.DoubleType()), T.StructField("units", T.IntegerType()), T.StructField("base_id", id_type),
+        T.StructField("gain", T.DecimalType(28, 2)), T.StructField("covered", T.DecimalType(28, 2)),
+        T.StructField("covered_spots", T.LongType()), T.StructField("la", T.DoubleType()), T.StructField("lo", T.DoubleType())])
 
 
 def _far_apart(a: tuple, b: tuple, km: float) -> bool:
@@ -77,11 +79,12 @@ def greedy_plan(groups: DataFrame, k: int, radii: list[float]) -> DataFrame:
     fewer rounds.  Ties go to the smaller base id; a radius stops when nothing is left to gain.
     """
     picks: dict[float, list] = {float(r): [] for r in radii}
+    id_type = groups.schema["covers"].dataType.elementType["id"].dataType
     covered, spots = {r: 0 for r in picks}, {r: 0 for r in picks}
     plan, active = [], set(picks)
     order = W.partitionBy("radius").orderBy(F.desc("gain"), F.asc("b.id"))
     while active:
-        free = F.col("radius").isin(*sorted(active)) & ~F.arrays_overlap("covers.id", _picked(picks))
+        free = F.col("radius").isin(*sorted(active)) & ~F.arrays_overlap("covers.id", _picked(picks, id_type))
         gains = groups.where(free).select("radius", F.explode("covers").alias("b"), "risk", "n").groupBy("radius", "b").agg(
             F.sum("risk").cast(RISK_TYPE).alias("gain"), F.sum("n").alias("n"))
         rows = gains.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
@@ -99,7 +102,7 @@ def greedy_plan(groups: DataFrame, k: int, radii: list[float]) -> DataFrame:
                 plan.append((radius, len(picks[radius]), r["id"], r["gain"], covered[radius], spots[radius], r["la"], r["lo"]))
             if not batch or len(picks[radius]) == k:
                 active.discard(radius)
-    return groups.sparkSession.createDataFrame(plan, PLAN_SCHEMA)
+    return groups.sparkSession.createDataFrame(plan, plan_schema(id_type))
 
 
 def coverage_bounds(groups: DataFrame, plan: DataFrame, k: int) -> DataFrame:

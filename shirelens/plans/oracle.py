@@ -156,6 +156,10 @@ add("distinct_keys", "SELECT DISTINCT o_custkey FROM orders")
 add("relational_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 add("insert_unseen", f"""WITH {LOG} SELECT region, id, risk_score FROM log WHERE region NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
   QUALIFY row_number() OVER (PARTITION BY region ORDER BY id) = 1""")
+add("insert_twice", f"""WITH {LOG}, old AS (SELECT region, id, risk_score FROM log WHERE region IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+  QUALIFY row_number() OVER (PARTITION BY region ORDER BY id DESC) = 1)
+  SELECT * FROM old UNION ALL SELECT region, id, risk_score FROM log WHERE region NOT IN (SELECT region FROM old)
+  QUALIFY row_number() OVER (PARTITION BY region ORDER BY id) = 1""")
 add("append_runs", """SELECT run_id, count(*) AS n, max(loaded) AS loaded FROM orders,
   (VALUES ('run-1', '2024-01-01'), ('run-2', '2024-01-02')) r(run_id, loaded) GROUP BY run_id""")
 add("snapshot_counts", f"""WITH {NATION_PROFILE} SELECT 'hotspots' AS name, least(50, count(DISTINCT o_custkey)) AS n FROM orders
@@ -441,7 +445,7 @@ metrics AS (SELECT g.radius, g.units, round(CAST(covered AS DOUBLE) / CAST(total
   spots AS total_spots, units_used, least(100.0, round(CAST((SELECT min(bound) FROM after f WHERE f.radius = g.radius) AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1)) AS upper_bound_pct FROM grid g, totals)"""
 
 
-add("coverage_plan", f"""WITH RECURSIVE {coverage([3], 5)} SELECT units, base_id, CAST(gain AS DOUBLE) AS gain, CAST(covered AS DOUBLE) AS covered, covered_spots FROM rounds WHERE units > 0""")
+add("coverage_plan", f"""WITH RECURSIVE {coverage([3], 10)} SELECT units, base_id, CAST(gain AS DOUBLE) AS gain, CAST(covered AS DOUBLE) AS covered, covered_spots FROM rounds WHERE units > 0""")
 add("coverage_metrics", f"WITH RECURSIVE {coverage([3], 5)} SELECT * FROM metrics WHERE units = 5")
 add("coverage_grid", f"WITH RECURSIVE {coverage(list(range(1, 11)), 30)} SELECT radius, units, covered_pct, uncovered_count FROM metrics")
 add("plan_summary", f"""WITH RECURSIVE {coverage([3], 10)} SELECT 10 AS total_units, radius AS max_radius_km, total_spots AS regions_considered, covered_pct AS risk_reduced,

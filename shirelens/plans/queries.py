@@ -98,7 +98,8 @@ def json_round_trip(t):
 def read_many_units(t):
     """One folder of CSV files per nation, read in one scan with the file as unit key."""
     path = scratch_path(t.spark, "units")
-    fl.write_table(t.customer.repartition("c_nationkey"), path, fmt="csv", partition_by=["c_nationkey"])
+    # rebalancing gathers each unit's rows and still splits a unit that is too large for one task
+    fl.write_table(t.customer.hint("rebalance", "c_nationkey"), path, fmt="csv", partition_by=["c_nationkey"])
     rows = fl.read_many(t.spark, path, "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE, c_mktsegment STRING")
     unit = F.regexp_extract("unit_file", r"c_nationkey=(\d+)", 1).cast("int")
     return rows.groupBy(unit.alias("unit")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
@@ -122,6 +123,18 @@ def insert_unseen(t):
     return tb.unseen_rows(sh.prediction_log(t).select("region", "id", "risk_score"), target, ["region"], c("id"))
 
 
+@query
+def insert_twice(t):
+    """A table with some customers' rows; inserting the absent ones a second time adds nothing."""
+    path = scratch_path(t.spark, "inserted")
+    log = sh.prediction_log(t).select("region", "id", "risk_score")
+    there = log.join(t.customer.where(c("c_acctbal") < 0).select(c("c_custkey").alias("region")), "region", "left_semi")
+    fl.write_table(tb.keep_first(there, ["region"], -c("id")), path)
+    for _ in range(2):
+        tb.insert_if_absent(log, path, ["region"], c("id"))
+    return t.spark.read.parquet(path)
+
+
 @query
 def append_runs(t):
     """Two appended runs of the same predictions stay apart by run id."""
@@ -205,8 +218,12 @@ def distinct_rows(t):
 
 @query
 def load_reconciliation(t):
-    rows = t.orders.select("o_custkey", "o_orderkey")
-    return qa.reconciliation(rows, tb.keep_first(rows, ["o_custkey"], c("o_orderkey")))
+    """Counts taken while the rows pass from the source to the cleaned table: one scan."""
+    rows, loaded = qa.observed(t.orders.select("o_custkey", "o_orderkey"), "loaded")
+    kept, cleaned = qa.observed(tb.keep_first(rows, ["o_custkey"], c("o_orderkey")), "cleaned")
+    materialize(kept, "cleaned")
+    n, m = loaded.get["rows"], cleaned.get["rows"]
+    return t.spark.createDataFrame([(n, m, n - m)], "rows_loaded long, rows_cleaned long, rows_removed long")
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------
@@ -498,7 +515,7 @@ def stacked_layouts(t):
 # --- scoring -------------------------------------------------------------------------------------------------------
 
 def _scored(t: Tables) -> DataFrame:
-    f = _features(t, "customer").withColumn("crime_forecast", S.growth_forecast(c("crime_rate_per_100k"), c("crime_growth_rate")))
+    f = _saved_features(t).withColumn("crime_forecast", S.growth_forecast(c("crime_rate_per_100k"), c("crime_growth_rate")))
     odd = _predictions(t).select("region", "anomaly_score")
     return sc.blended_risk(f.join(odd, "region"))
 
@@ -510,7 +527,7 @@ def blended_risk(t):
 
 @query
 def run_summary(t):
-    p = _scored(t).withColumn("is_anomaly", (c("anomaly_score") > 0.85).cast("int")).withColumn("current_crime_rate_per_100k", c("crime_rate_per_100k"))
+    p = materialize(_scored(t), "scored").withColumn("is_anomaly", (c("anomaly_score") > 0.85).cast("int")).withColumn("current_crime_rate_per_100k", c("crime_rate_per_100k"))
     top = F.array_join(F.transform("top_high_risk", lambda r: r["region"].cast("string")), ",")
     return sc.run_summary(p).withColumn("top_high_risk", top)
 
@@ -657,7 +674,7 @@ def _spots(t: Tables) -> DataFrame:
 
 @query
 def coverage_plan(t):
-    plan, _ = al.max_coverage(_spots(t), sh.base_points(t), 5, 3.0)
+    plan, _ = al.max_coverage(_spots(t), sh.base_points(t), 10, 3.0)
     return plan.select("units", "base_id", c("gain").cast("double").alias("gain"), c("covered").cast("double").alias("covered"), "covered_spots")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import clip
@@ -48,16 +48,20 @@ def start_alert_sink(windows: DataFrame, key: str, expected: float, path: str, c
 
 
 def start_surge_sink(windows: DataFrame, key: str, trailing: int, counts_path: str, surge_path: str, checkpoint: str) -> StreamingQuery:
-    """Surge ratios against the stored counts.
+    """Surge ratios against the counts before each window.
 
-    A row-based frame needs earlier windows, which a stream does not keep; every batch stores its counts, then
-    rates its own windows against all stored ones.  Counts hold one row per key and window.
+    A row-based frame needs earlier windows, which a stream does not keep; every batch leaves the last ``trailing`` counts of
+    each key for the next one.  What a batch reads so depends on the number of keys, not on the length of the history,
+    and a replayed batch finds what it found before.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
-        spark = batch.sparkSession
-        stored = spark.read.parquet(counts_path)
-        rated = surge(stored, key, "window_start", "n", trailing).where(F.col("batch") == batch_id).drop("batch")
+        spark, own = batch.sparkSession, f"{counts_path}/batch={batch_id}"
+        counts = batch.withColumn("fresh", F.lit(True))
+        if batch_id:
+            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{counts_path}/batch={batch_id - 1}").withColumn("fresh", F.lit(False)))
+        newest = W.partitionBy(key).orderBy(F.desc("window_start"))
+        counts.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= trailing).drop("_r").write.mode("overwrite").parquet(own)
+        rated = surge(counts, key, "window_start", "n", trailing).where("fresh").drop("fresh")
         rated.write.mode("overwrite").parquet(f"{surge_path}/batch={batch_id}")
 
     return (windows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
