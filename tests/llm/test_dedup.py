@@ -158,12 +158,12 @@ def test_repeats_match_brute_force(spark, monkeypatch, group_max):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(rows, 100)
 
 
-def test_repeats_over_windows_of_a_very_long_text(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_POS", np.uint64(1023))
-    rows = [(1, prose(60, 900)), (2, prose(61, 100) + prose(60, 900)[2000:4500] + prose(62, 30))]
-    import shirelens.llm.suffix_dedup as s
-    found = [s.anchors(np.frombuffer(t.encode(), np.uint8)[:1000], np.array([0, 1000]), 100, 40) for _, t in rows]
-    assert all(len(f[0]) for f in found)
+def test_repeats_over_windows_of_a_very_long_text(spark):
+    """Texts longer than the windows that they are looked at in, and a copy that is shifted against these."""
+    long = np.random.default_rng(11).integers(97, 123, 1_300_000).astype(np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(1, long), (2, "x" * 77 + long + "y"), (3, long[1_040_000:1_041_000])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: (1_300_000, 1), 2: (1_300_000, 1), 3: (1000, 1)}
 
 
 def test_repeats_of_nothing(nothing):
