@@ -255,7 +255,7 @@ def by_part(df: DataFrame, key: str = "part") -> DataFrame:
 
 
 #: Bits of the bitmap of ``maybe_in``.
-FILTER_BITS = 20
+FILTER_BITS = 22
 
 
 def maybe_in(keys: DataFrame, column: str, invert: bool = False):
