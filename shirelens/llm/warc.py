@@ -5,13 +5,15 @@ field ("sl"), so that a reader can step over a record without inflating its body
 the files of tasks that were committed get their final names, so retried and speculative tasks leave nothing behind that is read.
 
 Reading: files are listed on the driver and planned into partitions of about ``partitionBytes``: small files together, large
-ones in byte ranges that begin at the first record found after the range's start.  Predicates on the record type and on
-headers are pushed down; a record's headers are inflated first, and where they fail a predicate, or the asked-for schema
-has no ``payload``, the body is stepped over undecoded.  With ``verify`` the digest of each payload that is decoded is recomputed.
+ones in byte ranges, each from the first record that begins in it to the first of a later range, whether members state their
+lengths or not.  Predicates on the record type and on headers are pushed down; a record's headers are inflated first, and where
+they fail a predicate, or the asked-for schema has no ``payload``, the body is stepped over undecoded.  With ``verify`` the
+digest of each payload that is decoded is recomputed.
 
 Defined results: a null payload is written as an empty one; a null header is left out and read as null; header values lose line
-breaks; an empty folder or a table without rows reads as no rows; a damaged record raises an error that names file and offset; columns
-that the format does not know become headers of that name (so clashing names cannot overwrite the format's own fields).
+breaks; an empty folder or a table without rows reads as no rows; a damaged record raises an error that names file and offset, and
+so does a gzip member that holds more than one record; columns that the format does not know become headers of that name (so
+clashing names cannot overwrite the format's own fields).
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ NAMES = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri":
 SCHEMA = ("warc_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, "
           "content_type string, content_length long, headers map<string,string>, payload binary, file string, offset long")
 _MEMBER = struct.Struct("<4sIBBH2sHII")
-_MAGIC = b"\x1f\x8b\x08\x04"
+_GZIP = b"\x1f\x8b\x08"
+_MAGIC = _GZIP + b"\x04"
+_TEXT = b"WARC/"
+_STORED = 65_535
 _HEAD_STEP = 4096
 
 
@@ -77,12 +82,16 @@ def parse_head(raw: bytes) -> dict[str, str]:
 
 
 class Records:
-    """Records of one file from the first that begins at or after ``start`` to the last that begins before ``end``."""
+    """Records of one file from the first that begins at or after ``start`` to the last that begins before ``end``.
+
+    Members that state no length, as other writers make them, are found by inflating what looks like one.
+    """
 
     def __init__(self, handle: pa.NativeFile, size: int, start: int, end: int):
-        self.f, self.size, self.at, self.end = handle, size, start, end
-        if start:
-            self._synchronise()
+        self.f, self.size = handle, size
+        self.at = self._first(start, end) if start else 0
+        # where the next range with a record takes over: read up to there, so that nothing lies between two ranges
+        self.end = min(end, size) if self.at >= end else self._first(end, size)
 
     def _read(self, at: int, n: int) -> bytes:
         return self.f.read_at(min(n, max(self.size - at, 0)), at)
@@ -95,26 +104,59 @@ class Records:
         _, _, _, _, extra, name, n, whole, _ = _MEMBER.unpack(raw)
         return whole if (extra, name, n) == (12, b"sl", 8) and at + whole <= self.size else None
 
-    def _synchronise(self) -> None:
+    def _member_end(self, at: int) -> int | None:
+        """End of the record's member that begins here: as it states, else found by inflating it to its checksum."""
+        if whole := self._length(at):
+            return at + whole
+        inflate, pos, head = zlib.decompressobj(31), at, b""
+        try:
+            while not inflate.eof:
+                raw = inflate.unconsumed_tail
+                if not raw:
+                    raw = self._read(pos, 1 << 16)
+                    pos += len(raw)
+                if not raw:
+                    return None
+                text = inflate.decompress(raw, 1 << 20)
+                if len(head) < len(_TEXT):
+                    head += text[:len(_TEXT)]
+                    if not _TEXT.startswith(head[:len(_TEXT)]):
+                        return None
+        except zlib.error:
+            return None
+        return pos - len(inflate.unused_data) if head.startswith(_TEXT) else None
+
+    def _begins(self, at: int) -> bool:
+        """Whether a record begins here: members follow each other for longer than a copied archive inside of a record can (an
+        uncompressed block of deflate has at most 65,535 bytes), or up to the end of the file."""
+        k = at
+        while k <= at + _STORED and k < self.size:
+            end = self._member_end(k)
+            if end is None or end <= k:
+                return False
+            k = end
+        return k == self.size or self._read(k, len(_GZIP)) == _GZIP
+
+    def _first(self, at: int, end: int) -> int:
+        """First record that begins in ``at`` .. ``end``, else ``end``."""
         step = 1 << 16
-        at = self.at
-        while at < self.end:
-            raw = self._read(at, step + _MEMBER.size)
-            k = raw.find(_MAGIC)
-            while 0 <= k < step:
-                whole = self._length(at + k)
-                if whole and (at + k + whole == self.size or self._length(at + k + whole)):
-                    self.at = at + k
-                    return
-                k = raw.find(_MAGIC, k + 1)
+        while at < end:
+            raw = self._read(at, step + len(_GZIP) - 1)
+            k = raw.find(_GZIP)
+            while 0 <= k < min(step, end - at):
+                if self._begins(at + k):
+                    return at + k
+                k = raw.find(_GZIP, k + 1)
             at += step
-        self.at = self.end
+        return end
 
     def __iter__(self) -> Iterator[tuple[int, dict[str, str], "Body"]]:
-        while self.at < min(self.end, self.size):
+        while self.at < self.end:
             body = Body(self, self.at, self._length(self.at))
             yield self.at, body.headers, body
             self.at = body.next_at()
+        if self.at > self.end and self.end < self.size:
+            raise ValueError(f"damaged record before offset {self.end}")
 
 
 class Body:
@@ -129,13 +171,16 @@ class Body:
                 raise ValueError(f"damaged record at offset {at}")
         head, _, self.text = self.text.partition(b"\r\n\r\n")
         self.headers = parse_head(head)
+        self.left = int(self.headers.get("Content-Length", 0))  # bytes of the block not yet taken
 
     def _more(self, n: int, limit: int = 0) -> bool:
+        if self.inflate.eof:
+            return False
         raw = self.inflate.unconsumed_tail
         if not raw:
             raw = self.r._read(self.pos, n)
             self.pos += len(raw)
-        if not raw or self.inflate.eof:
+        if not raw:
             return False
         self.text += self.inflate.decompress(raw, limit)
         return True
@@ -151,7 +196,7 @@ class Body:
         whole = b"".join(parts)
         if len(whole) < n:
             raise ValueError(f"record at offset {self.start} is cut short")
-        self.text = whole[n:]
+        self.text, self.left = whole[n:], 0
         return whole[:n]
 
     def payload(self) -> bytes:
@@ -164,8 +209,15 @@ class Body:
     def next_at(self) -> int:
         if self.whole:
             return self.start + self.whole
-        while not self.inflate.eof and self._more(1 << 20):
-            self.text = b""
+        skip, rest = self.left, b""
+        while True:
+            if len(rest) < 64:
+                rest += self.text[skip:skip + 64]
+            skip, self.text = max(0, skip - len(self.text)), b""
+            if not self._more(1 << 20, 1 << 20):
+                break
+        if rest.lstrip().startswith(_TEXT):
+            raise ValueError(f"the member at offset {self.start} holds more than one record")
         return self.pos - len(self.inflate.unused_data)
 
 

@@ -131,6 +131,32 @@ def test_reader_pushes_predicates_and_splits_files(spark, tmp_path):
     assert [bytes(r.payload) for r in got] == [b"hello"] * 3
 
 
+def foreign(k, payload):
+    """A record as other writers make it: a gzip member that does not state its length."""
+    return gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k, len(payload), payload))
+
+
+def test_large_files_of_other_writers_are_split_without_loss(spark, tmp_path):
+    rng = random.Random(2)
+    nested = b"".join(foreign(1000 + k, rng.randbytes(700)) for k in range(400))  # an archive inside of a record, stored as it is
+    payloads = [rng.randbytes(rng.randint(0, 20_000)) for _ in range(60)]
+    payloads[20] = nested
+    payloads[40] = b"\x1f\x8b\x08" * 5000
+    own = lambda k: warc.member({"WARC-Type": "resource", "WARC-Record-ID": f"<r{k}>"}, payloads[k])
+    for name, write in (("plain", lambda k: foreign(k, payloads[k])), ("mixed", lambda k: own(k) if k < 10 or k % 2 else foreign(k, payloads[k]))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(b"".join(map(write, range(60))))
+        for size in ("4000", "50000", "100000000"):
+            got = warc.read_warc(spark, f"{tmp_path}/{name}", partitionBytes=size)
+            assert Counter((r.record_id, bytes(r.payload)) for r in got.collect()) == Counter((f"<r{k}>", payloads[k]) for k in range(60)), (name, size)
+        bare = warc.read_warc(spark, f"{tmp_path}/{name}", "record_id string", partitionBytes="30000")
+        assert bare.rdd.getNumPartitions() > 10 and sorted(r[0] for r in bare.collect()) == sorted(f"<r{k}>" for k in range(60))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/a.warc.gz").write_bytes(gzip.compress(b"".join(gzip.decompress(foreign(k, b"hello")) for k in range(3))))
+    with pytest.raises(Exception, match="more than one record"):
+        warc.read_warc(spark, f"{tmp_path}/one").collect()
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
