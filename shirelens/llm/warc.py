@@ -442,8 +442,10 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str =
                                              bare(F.col("payload_digest")).alias("payload_digest")), "responses")
     revisits = read_warc(spark, path, head).where(F.col("warc_type") == "revisit").select(
         page, F.col("refers_to").alias("record_id"), bare(F.col("payload_digest")).alias("own_digest"))
-    target = responses.select("record_id", "payload_bytes", "payload_digest", F.col("page_id").alias("refers_to")).dropDuplicates(["record_id"])
-    found = revisits.join(target, "record_id").where(F.col("own_digest") == F.col("payload_digest"))
+    # a page that occurs with several payloads has a response of each, all under one record id
+    target = responses.select("record_id", "payload_bytes", "payload_digest", F.col("page_id").alias("refers_to")).dropDuplicates(
+        ["record_id", "payload_digest"])
+    found = revisits.withColumnRenamed("own_digest", "payload_digest").join(target, ["record_id", "payload_digest"])
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
                             F.lit(None).cast("long").alias("refers_to")).unionByName(
         found.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))

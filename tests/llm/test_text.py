@@ -111,6 +111,15 @@ def test_archive_round_trip(spark):
     assert all(r.record_type == "response" for r in none if r.payload_bytes < 10_000)
 
 
+def test_pages_crawled_twice_keep_all_rows(spark):
+    rows = [(9, "A"), (9, "B"), (3, "A"), (4, "B"), (9, "A"), (5, "A"), (None, "B"), (None, "C"), (None, "D"), (4, "E"), (2, "E")]
+    top = {"A": 9, "B": 9, "C": None, "D": None, "E": 4}
+    want = Counter((i, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if top[h] == i else "revisit", None if top[h] == i else top[h])
+                   for i, h in rows)
+    got = warc.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
 def test_reader_pushes_predicates_and_splits_files(spark, tmp_path):
     _, df = pages_of(spark)
     path = f"file://{tmp_path}/w"
