@@ -608,9 +608,9 @@ def center_cells(t):
     return cells.select("cell_id", "region", "crime_count", "severity_mean")
 
 
-#: At most so many regions teach a forest; every region is predicted and explained.
+FOREST = dict(n_trees=100, max_depth=30)
+#: Where leaves are explained their number is bounded: at most so many regions teach the forest; every region is explained.
 FIT_ROWS = 2000
-FOREST = dict(n_trees=100, max_depth=30, fit_rows=FIT_ROWS)
 FOREST_INPUTS = [f for f in feat.FEATURE_COLUMNS if f not in ("crime_rate_per_100k", "normalized_crime_index")]
 
 
@@ -626,7 +626,7 @@ def forest_predictions(t):
 
 def _explained(t: Tables) -> DataFrame:
     f = _saved_features(t)
-    model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST)
+    model = rg.fit_forest(f, FOREST_INPUTS, "crime_rate_per_100k", **FOREST, fit_rows=FIT_ROWS)
     return materialize(rg.explain_rows(model, f, "region", FOREST_INPUTS, labels=S.FEATURE_LABELS, digits=9), "explained")
 
 

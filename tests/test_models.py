@@ -137,3 +137,20 @@ def test_indices_of_known_regions(spark):
     assert (got["a"].crime_rate_per_100k, got["a"].crime_severity_score, got["a"].population_density) == (1000.0, 380.0, 111.11)
     assert [got[k].normalized_crime_index for k in "abc"] == [0.3333, 0.0, 1.0]
     assert got["c"].hotspot_score == round((0.45 + 0.35 * 540 / 540 + 0.2 * 0.4) * 100, 2)
+
+
+@pytest.mark.parametrize("name", ["forest_predictions", "scoring_run"])
+def test_predictions_learn_from_all_regions(spark, monkeypatch, name):
+    from shirelens.plans import queries, scoring_run
+
+    class Seen(Exception):
+        pass
+
+    def fit(*args, fit_rows=None, **kwargs):
+        raise Seen(fit_rows)
+
+    monkeypatch.setattr(queries.rg, "fit_forest", fit)
+    monkeypatch.setattr(scoring_run, "fit_forest", fit)
+    with pytest.raises(Seen) as seen:
+        queries.REGISTRY[name](spark, "/root/testdata/sf0.001").count()
+    assert seen.value.args == (None,)
