@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, suffix_dedup, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language, lexical_search, packing, pii, quality, suffix_dedup, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -91,6 +91,29 @@ def op4_pii(spark, sf_dir):
     return pii.find(docs, pii.fit(docs))
 
 
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SQL["op11_lexical_search"] = rf"""
+WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{lexical_search.TERM}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
+nd AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY ALL),
+tot AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM nd),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{lexical_search.TERM}')) AS term FROM benchmark),
+qc AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
+imp AS (SELECT tf.doc_id, tf.term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT)
+          * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) AS impact
+        FROM tf JOIN dfs USING (term) JOIN nd USING (doc_id), tot),
+s AS (SELECT item_id, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM qc JOIN imp USING (term) GROUP BY ALL HAVING sum(c * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
