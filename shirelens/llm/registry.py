@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language, lexical_search, packing, pii, quality, suffix_dedup, warc
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language, lexical_search, packing, periodic_runs, pii, quality, suffix_dedup, warc
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -114,6 +114,11 @@ FROM s QUALIFY rank <= 20
 """
 
 
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
