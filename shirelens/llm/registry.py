@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language, lexical_search, packing, periodic_runs, pii, quality, suffix_dedup, warc
+from . import (bpe, exact_dedup, fingerprints, jaccard_join, language, lexical_search, minhash_dedup, packing, periodic_runs, pii, quality,
+               suffix_dedup, warc)
 from .common import crc_of_id, table
 
 QUERIES, SQL = {}, {}
@@ -114,6 +115,11 @@ FROM s QUALIFY rank <= 20
 """
 
 
+@query
+def op12_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
