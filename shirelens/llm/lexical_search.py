@@ -1,11 +1,15 @@
 """Ranked lexical search by hashed max-sketches.
 
-Every document gets the exact integer impact of each of its terms, a BM25 form with global statistics (N documents with a term, L terms in
-all, df per term) computed over all documents by Spark aggregates.  The impacts of a document fold into a sketch of ``bins`` coordinates:
-coordinate ``hash(term) mod bins`` holds the largest impact of the terms hashed there.  For a query with term counts c, the sum of c times
-the sketch at the query's coordinates bounds the exact score from above.  Each task scores a block of queries against its documents with
-one matrix product of bounds, then rescores documents exactly in descending order of bound until the bound falls below the k-th exact
-score; the tasks' top k are merged per query by a window over at most k rows per task.
+Every document gets the exact integer impact of each query term it holds, a BM25 form with global statistics (N documents with a term,
+L terms in all, df per term) that Spark aggregates over all documents in a first scan.  In a second scan each task folds the impacts of
+every term of a document into a sketch of ``bins`` coordinates: coordinate ``hash(term) mod bins`` holds the largest impact of the terms
+hashed there (a term that no query holds enters with the largest impact any term could have, so the sketch is an index of the whole text).
+For a query with term counts c, the sum of c times the sketch at the query's coordinates bounds the exact score from above.  A block of
+queries is scored against a block of documents with one matrix product of bounds; documents are then rescored exactly in descending order
+of bound until the bound falls below the k-th exact score.  The tasks' top k are merged per query by a window over at most k rows per task.
+
+Only the query side travels to the tasks: the stated query set with its terms and their df, ``QUERY_BLOCK`` queries at a time.  Documents
+are never shuffled, so a hot source or a term in every document costs nothing extra.
 
 Defined results: terms are maximal runs of ``TERM`` after A-Z are lower-cased (nothing else is folded); a null text has no terms; a document
 without terms counts in neither N nor L and is never ranked; only scores above 0 are ranked; equal scores go by ascending doc_id, a null
@@ -16,13 +20,17 @@ its own query, its item_id carried as given; a query without terms ranks nothing
 from __future__ import annotations
 
 import heapq
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from .common import bounded_batches
 
 # Fixed values of the contract: the term pattern, and the constants of the score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,85 +45,76 @@ DOC_BLOCK = 512
 QUERY_BLOCK = 512
 
 
-def terms_of(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({TERM})"), 1)
-
-
-def coordinate(term: F.Column, bins: int) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(bins)).cast("int")
-
-
-def index(docs: DataFrame, query_terms: DataFrame, bins: int = BINS) -> DataFrame:
-    """One row per document with terms: ``_rk, doc_id, coords, maxima`` (its sketch) and ``terms, impacts`` (exact impacts of the terms
-    that some query holds)."""
-    rows = docs.select(F.col("doc_id"), F.col("text")).withColumn("_rk", F.monotonically_increasing_id())
-    tf = materialize(rows.select("_rk", "doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
-                     .groupBy("_rk", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "search-tf")
-    per_doc = tf.groupBy("_rk").agg(F.sum("tf").alias("n_terms"))
-    total = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_terms").alias("n_all"))
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = F.floor(F.lit(1000.0) * F.log((2 * F.col("n_docs") + 2) / (2 * F.col("df") + 1))).cast("long")
-    m = F.lit(100 - B_PERCENT) + F.expr(f"({B_PERCENT} * n_terms * n_docs) div n_all")
-    impact = w * F.expr("(1000000000 * tf) div (1000 * tf + 12 * m_)")
-    # a term in a third of all documents is one row of dfs: the join's skew is on the tf side, which AQE splits
-    imp = tf.join(dfs, "term").join(per_doc, "_rk").crossJoin(F.broadcast(total)).withColumn("m_", m).select(
-        "_rk", "doc_id", "term", impact.alias("impact"))
-    imp = materialize(imp, "search-impacts")
-    sketch = imp.groupBy("_rk", "doc_id", coordinate(F.col("term"), bins).alias("coord")).agg(F.max("impact").alias("mx")).groupBy(
-        "_rk", "doc_id").agg(F.collect_list(F.struct("coord", "mx")).alias("s"))
-    wanted = imp.join(query_terms.select("term").distinct(), "term", "left_semi").groupBy("_rk").agg(
-        F.collect_list(F.struct("term", "impact")).alias("e"))
-    return sketch.join(wanted, "_rk", "left").select(
-        "_rk", "doc_id", F.col("s.coord").alias("coords"), F.col("s.mx").alias("maxima"),
-        F.coalesce(F.col("e.term"), F.array().cast("array<string>")).alias("terms"),
-        F.coalesce(F.col("e.impact"), F.array().cast("array<long>")).alias("impacts"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(_q, item_id, term, c)``: every query row is numbered and its terms counted."""
-    q = queries.select("item_id", "text").withColumn("_q", F.monotonically_increasing_id())
-    return q.select("_q", "item_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("_q", "item_id", "term").agg(
-        F.count(F.lit(1)).alias("c"))
-
-
-def _top_of_block(block: list[tuple], bins: int, k: int):
-    """A function for ``mapInArrow``: the task's k best documents per query of ``block`` = [(q, item_id, [(term, c)])]."""
+_TERM = re.compile(TERM)
+_FOLD = str.maketrans(UPPER, LOWER)
+
+
+def terms_in(text: str | None) -> list[str]:
+    return _TERM.findall((text or "").translate(_FOLD))
+
+
+def coordinate(term: str, bins: int) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) % bins
+
+
+def weight(n_docs: int, df: int) -> int:
+    return math.floor(1000.0 * math.log((2 * n_docs + 2) / (2 * df + 1)))
+
+
+def _statistics(vocabulary: set[str]):
+    """Per document its number of terms, and a row per query term it holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, held = [], []
+            for text in batch.column("text").to_pylist():
+                found = terms_in(text)
+                n.append(len(found))
+                held.append(sorted(vocabulary.intersection(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(held, pa.list_(pa.string()))], ["n", "held"])
+    return run
+
+
+def _search(block: list[tuple], df: dict[str, int], n_docs: int, n_all: int, bins: int, k: int):
+    """A function for ``mapInArrow``: the task's k best documents for each query of ``block`` = [(q, item_id, [(term, c)])]."""
     n_q = len(block)
     weights = np.zeros((n_q, bins))
     for i, (_, _, terms) in enumerate(block):
-        for term, c, coord in terms:
-            weights[i, coord] += c
+        for term, c in terms:
+            weights[i, coordinate(term, bins)] += c
+    w_of = {t: weight(n_docs, d) for t, d in df.items()}
+    w_top = weight(n_docs, 1) if n_docs else 0  # the largest weight any term can have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in range(n_q)]  # heaps of (score, -order of doc_id, doc_id)
-
-        def kth(i: int) -> float:
-            return best[i][0][0] if len(best[i]) == k else -1
-
+        best: list[list[tuple]] = [[] for _ in range(n_q)]  # min-heaps of (score, -doc_id or -2**64 for null, doc_id)
         for batch in batches:
-            for a in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(a, DOC_BLOCK)
-                nb = part.num_rows
-                coords, maxima = part.column("coords"), part.column("maxima")
-                sk = np.zeros((nb, bins))
-                lens = coords.value_lengths().to_numpy(zero_copy_only=False)
-                rows = np.repeat(np.arange(nb), lens)
-                sk[rows, coords.flatten().to_numpy(zero_copy_only=False)] = maxima.flatten().to_numpy(zero_copy_only=False).astype(float)
-                bound = weights @ sk.T  # exact for integers below 2**53; the margin covers rounding above
-                bound = bound * (1 + 1e-12) + 1
-                ids = part.column("doc_id").to_pylist()
-                terms, impacts = part.column("terms").to_pylist(), part.column("impacts").to_pylist()
-                exact_of: dict[int, dict[str, int]] = {}
+            texts, all_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for a in range(0, len(texts), DOC_BLOCK):
+                ids = all_ids[a:a + DOC_BLOCK]
+                sk = np.zeros((len(ids), bins))
+                exact: list[dict[str, int]] = []
+                for j, text in enumerate(texts[a:a + DOC_BLOCK]):
+                    tf = Counter(terms_in(text))
+                    n = sum(tf.values())
+                    mine = {}
+                    if n:
+                        m = 100 - B_PERCENT + (B_PERCENT * n * n_docs) // n_all
+                        terms = list(tf)
+                        counts = np.fromiter(tf.values(), np.int64, len(terms))
+                        w = np.array([w_of.get(t, w_top) for t in terms], np.int64)
+                        impact = w * ((1000000000 * counts) // (1000 * counts + 12 * m))
+                        where = np.array([coordinate(t, bins) for t in terms], np.int64)
+                        np.maximum.at(sk[j], where, impact.astype(float))
+                        mine = {t: int(v) for t, v in zip(terms, impact) if t in w_of}
+                    exact.append(mine)
+                bound = weights @ sk.T * (1 + 1e-12) + 1  # exact below 2**53; the margin covers rounding above
                 for i, (_, _, qterms) in enumerate(block):
                     row = bound[i]
-                    cand = np.flatnonzero(row > max(kth(i), 0))
+                    floor = best[i][0][0] if len(best[i]) == k else 0
+                    cand = np.flatnonzero(row > floor)
                     for j in cand[np.argsort(-row[cand], kind="stable")]:
                         if len(best[i]) == k and row[j] < best[i][0][0]:
                             break
-                        e = exact_of.get(j)
-                        if e is None:
-                            e = exact_of[j] = dict(zip(terms[j], impacts[j]))
-                        score = sum(c * e.get(t, 0) for t, c, _ in qterms)
+                        score = sum(c * exact[j].get(t, 0) for t, c in qterms)
                         if score <= 0:
                             continue
                         d = ids[j]
@@ -124,15 +123,9 @@ def _top_of_block(block: list[tuple], bins: int, k: int):
                             heapq.heappush(best[i], key)
                         elif key > best[i][0]:
                             heapq.heapreplace(best[i], key)
-        out_q, out_item, out_doc, out_score = [], [], [], []
-        for i, (q, item, _) in enumerate(block):
-            for score, _, d in best[i]:
-                out_q.append(q)
-                out_item.append(item)
-                out_doc.append(d)
-                out_score.append(score)
-        yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_item, pa.int64()), pa.array(out_doc, pa.int64()),
-                                          pa.array(out_score, pa.int64())], ["_q", "item_id", "doc_id", "score"])
+        out = [(q, item, d, score) for i, (q, item, _) in enumerate(block) for score, _, d in best[i]]
+        cols = list(zip(*out)) if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["_q", "item_id", "doc_id", "score"])
 
     return run
 
@@ -140,16 +133,21 @@ def _top_of_block(block: list[tuple], bins: int, k: int):
 def rank(docs: DataFrame, queries: DataFrame, k: int = 20, bins: int = BINS) -> DataFrame:
     """``item_id, rank, doc_id, score``: each query's k best documents with a score above 0 (see the module's text)."""
     spark = docs.sparkSession
-    qt = materialize(query_terms(queries).withColumn("coord", coordinate(F.col("term"), bins)), "search-queries")
-    idx = materialize(index(docs, qt, bins), "search-index")
-    # the stated query set goes to the tasks block by block; its size per block is bounded by QUERY_BLOCK queries
-    n_blocks = -(-qt.select("_q").distinct().count() // QUERY_BLOCK)
+    bounded_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the stated query set, numbered; it goes to the driver and to the tasks QUERY_BLOCK queries at a time
+    q = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).collect()
+    parsed = [(i, r["item_id"], sorted(Counter(terms_in(r["text"])).items())) for i, r in enumerate(q)]
+    vocabulary = {t for _, _, ts in parsed for t, _ in ts}
+    stats = texts.mapInArrow(_statistics(vocabulary), "n long, held array<string>")
+    totals = stats.agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_all")).first()
+    df = {r["t"]: r["df"] for r in stats.select(F.explode("held").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()}
     parts = []
-    for b in range(n_blocks):
-        rows = qt.where(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)) == b).groupBy("_q", "item_id").agg(
-            F.collect_list(F.struct("term", "c", "coord")).alias("t")).collect()
-        block = [(r["_q"], r["item_id"], [(t["term"], t["c"], t["coord"]) for t in r["t"]]) for r in rows]
-        parts.append(idx.mapInArrow(_top_of_block(block, bins, k), "_q long, item_id long, doc_id long, score long"))
+    for b in range(0, len(parsed), QUERY_BLOCK):
+        block = [p for p in parsed[b:b + QUERY_BLOCK] if p[2]]
+        if block and totals["n_docs"]:
+            parts.append(texts.mapInArrow(_search(block, df, totals["n_docs"], totals["n_all"], bins, k),
+                                          "_q long, item_id long, doc_id long, score long"))
     if not parts:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     got = parts[0]
