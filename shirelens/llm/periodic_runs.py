@@ -7,7 +7,13 @@ root that is the longest Lyndon word starting at its position, for one of the tw
 orders come from suffix comparisons by the same extensions.  Each candidate (position, Lyndon length p) is extended both ways; a stretch
 of period p of at least ``max(MIN_WORDS, MIN_EXPONENT * p)`` words is a run, with p its smallest period (a Lyndon word has no border).
 
-Spark deals documents to tasks in Arrow batches of bounded bytes; the work per document is linear in its words.
+Only windows that can hold a run go through the trees, an exact filter: in a run of period q every word after the first q has its
+previous occurrence at most q words back, so [start + q, end) lies in a stretch of at least 3q words whose previous occurrences are at
+most Q back, Q the power of two with Q/2 < q <= Q.  For each Q the stretches long enough give windows [stretch start - Q, stretch end);
+no run reaches past the window of its own Q, so the runs of the merged windows are exactly the document's runs.
+
+Spark deals documents to tasks in Arrow batches of bounded bytes; the work per document is linear in its words, apart from the sort of
+its word ids.
 
 Defined results: words are maximal runs of ``[^\\x20\\x09-\\x0D]`` code points, compared exactly (no case folding); a null or empty text has
 no words and no runs; a null doc_id plants nothing (it has no crc32); repeated rows give repeated results; with no run, start, length,
@@ -30,8 +36,9 @@ from .common import bounded_batches
 # Fixed values of the contract.
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 MIN_WORDS, MIN_EXPONENT = 6, 4
-#: Euler-tour positions per block of the minimum table.
+#: Euler-tour positions per block of the minimum table; tours up to FULL_TABLE positions get a table of all ranges.
 BLOCK = 32
+FULL_TABLE = 1 << 16
 
 RESULT = ("doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, "
           "collapsed_sha256 string")
@@ -147,12 +154,26 @@ class SuffixTree:
             prev = self.table[-1]
             self.table.append(np.minimum(prev[:len(prev) - (1 << (k - 1))], prev[1 << (k - 1):]))
             k += 1
+        self.full = None
+        if len(d) <= FULL_TABLE:
+            full = [d]
+            k = 1
+            while (1 << k) <= len(d):
+                prev = full[-1]
+                full.append(np.minimum(prev[:len(prev) - (1 << (k - 1))], prev[1 << (k - 1):]))
+                k += 1
+            self.full = [t.tolist() for t in full]
         self.firsts = self.first.tolist()
         self.dl = d.tolist()
         self.tables = [t.tolist() for t in self.table]
 
     def _min(self, lo: int, hi: int) -> int:
         """Smallest tour depth in positions lo..hi (inclusive)."""
+        if self.full is not None:
+            k = (hi - lo + 1).bit_length() - 1
+            t = self.full[k]
+            a, b = t[lo], t[hi - (1 << k) + 1]
+            return a if a < b else b
         bl, bh = lo // BLOCK, hi // BLOCK
         d = self.dl
         if bl == bh:
@@ -187,13 +208,52 @@ def lyndon_array(v: list[int], lce) -> list[int]:
     return lam
 
 
+def windows(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Merged windows ``[a, b)`` that hold every run (see the module's text)."""
+    n = len(ids)
+    order = np.lexsort((np.arange(n), ids))
+    back = np.full(n, n + 1, np.int64)
+    same = ids[order][1:] == ids[order][:-1]
+    later, earlier = order[1:][same], order[:-1][same]
+    back[later] = later - earlier
+    found = []
+    q_top = 1
+    while q_top <= max(1, n // MIN_EXPONENT) * 2:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (back <= q_top).astype(np.int8), [0]])))
+        starts, ends = edges[::2], edges[1::2]
+        # the smallest q with this Q: 1 for Q = 1, else Q/2 + 1; the stretch holds at least max(MIN_WORDS, MIN_EXPONENT q) - q words
+        q_low = 1 if q_top == 1 else q_top // 2 + 1
+        need = max(MIN_WORDS, MIN_EXPONENT * q_low) - q_low
+        keep = ends - starts >= need
+        found += [(max(0, int(a) - q_top), int(b)) for a, b in zip(starts[keep], ends[keep])]
+        q_top *= 2
+    found.sort()
+    merged: list[list[int]] = []
+    for a, b in found:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged]
+
+
 def runs_of(words: list[str]) -> list[tuple[int, int, int]]:
     """Sorted ``(start, length, period)`` of every run (see the module's text)."""
-    n = len(words)
-    if n < MIN_WORDS:
+    if len(words) < MIN_WORDS:
         return []
     _, ids = np.unique(np.array(words, dtype=object), return_inverse=True)
-    ids = ids.astype(np.int64).tolist()
+    ids = ids.astype(np.int64)
+    found = []
+    for a, b in windows(ids):
+        found += [(a + s, l, p) for s, l, p in window_runs(ids[a:b].tolist())]
+    return sorted(set(found), key=lambda r: (r[0], r[2]))
+
+
+def window_runs(ids: list[int]) -> list[tuple[int, int, int]]:
+    """Runs of one window of symbols, by the suffix trees of the window and its reversal."""
+    n = len(ids)
+    if n < MIN_WORDS:
+        return []
     top = max(ids)
     fwd = SuffixTree(ids + [-1])
     back = SuffixTree(ids[::-1] + [-1])
@@ -206,7 +266,7 @@ def runs_of(words: list[str]) -> list[tuple[int, int, int]]:
             size = p + right + left
             if size >= max(MIN_WORDS, MIN_EXPONENT * p):
                 found.add((i - left, size, p))
-    return sorted(found, key=lambda r: (r[0], r[2]))
+    return list(found)
 
 
 def describe(doc_id: int | None, text: str | None) -> tuple:

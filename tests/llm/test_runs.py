@@ -80,3 +80,15 @@ def test_long_periodic_text():
     runs = pr.runs_of(words)
     assert runs == [(0, 9000, 3), (9001, 20, 1)]
     assert pr.describe(7, " ".join(words))[2:6] == (0, 9000, 3, 3000000)
+
+
+def test_windows_hold_every_run():
+    rng = random.Random(11)
+    for trial in range(300):
+        n = rng.randint(6, 120)
+        words = [f"w{rng.randint(0, 40)}" for _ in range(n)]
+        for _ in range(rng.randint(1, 3)):  # plant runs of several periods
+            p, a = rng.randint(1, 9), rng.randint(0, n - 1)
+            end = min(n, a + p * rng.randint(3, 6))
+            words[a:end] = [words[a + (i - a) % p] for i in range(a, end)]
+        assert pr.runs_of(words) == brute_runs(words), words
