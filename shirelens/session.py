@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if configured is None and current is None:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-        if not warehouse:
+        # the default warehouse is a folder beside the driver's process: shared only when everything runs in that process
+        chosen = sc.getConf().contains("spark.sql.warehouse.dir")
+        if not warehouse or not (chosen or sc.master.startswith("local")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"{warehouse.rstrip('/')}/_shared"
     if current is None:
