@@ -43,6 +43,8 @@ BINS = 4096
 DOC_BLOCK = 512
 #: Queries that go to the tasks together; a larger query set is run block by block.
 QUERY_BLOCK = 512
+#: Distinct terms whose coordinate and weight a task keeps at once.
+CACHE = 1 << 20
 
 
 _TERM = re.compile(TERM)
@@ -62,15 +64,21 @@ def weight(n_docs: int, df: int) -> int:
 
 
 def _statistics(vocabulary: set[str]):
-    """Per document its number of terms, and a row per query term it holds."""
+    """Partial sums per batch: a row per query term with the number of documents holding it, and a row with null term holding the
+    number of documents with terms and the number of their terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, held = [], []
+            held: Counter = Counter()
+            n_docs = n_all = 0
             for text in batch.column("text").to_pylist():
                 found = terms_in(text)
-                n.append(len(found))
-                held.append(sorted(vocabulary.intersection(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(held, pa.list_(pa.string()))], ["n", "held"])
+                if found:
+                    n_docs += 1
+                    n_all += len(found)
+                    held.update(vocabulary.intersection(found))
+            terms, counts = [None, *held], [n_docs, *held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()),
+                                              pa.array([n_all] + [0] * len(held), pa.int64())], ["t", "c", "l"])
     return run
 
 
@@ -86,6 +94,16 @@ def _search(block: list[tuple], df: dict[str, int], n_docs: int, n_all: int, bin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in range(n_q)]  # min-heaps of (score, -doc_id or -2**64 for null, doc_id)
+        known: dict[str, tuple[int, int]] = {}  # term -> (coordinate, weight) seen in this task, cleared beyond CACHE terms
+
+        def look(t: str) -> tuple[int, int]:
+            got = known.get(t)
+            if got is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                got = known[t] = (coordinate(t, bins), w_of.get(t, w_top))
+            return got
+
         for batch in batches:
             texts, all_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a in range(0, len(texts), DOC_BLOCK):
@@ -100,9 +118,9 @@ def _search(block: list[tuple], df: dict[str, int], n_docs: int, n_all: int, bin
                         m = 100 - B_PERCENT + (B_PERCENT * n * n_docs) // n_all
                         terms = list(tf)
                         counts = np.fromiter(tf.values(), np.int64, len(terms))
-                        w = np.array([w_of.get(t, w_top) for t in terms], np.int64)
+                        info = np.array([look(t) for t in terms], np.int64).reshape(-1, 2)
+                        where, w = info[:, 0], info[:, 1]
                         impact = w * ((1000000000 * counts) // (1000 * counts + 12 * m))
-                        where = np.array([coordinate(t, bins) for t in terms], np.int64)
                         np.maximum.at(sk[j], where, impact.astype(float))
                         mine = {t: int(v) for t, v in zip(terms, impact) if t in w_of}
                     exact.append(mine)
@@ -139,9 +157,12 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 20, bins: int = BINS) ->
     q = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).collect()
     parsed = [(i, r["item_id"], sorted(Counter(terms_in(r["text"])).items())) for i, r in enumerate(q)]
     vocabulary = {t for _, _, ts in parsed for t, _ in ts}
-    stats = texts.mapInArrow(_statistics(vocabulary), "n long, held array<string>")
-    totals = stats.agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_all")).first()
-    df = {r["t"]: r["df"] for r in stats.select(F.explode("held").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()}
+    # one scan: df of the query terms and the totals, summed per batch in the tasks, then per term (bounded by the query set)
+    stats = texts.mapInArrow(_statistics(vocabulary), "t string, c long, l long").groupBy("t").agg(
+        F.sum("c").alias("c"), F.sum("l").alias("l")).collect()
+    df = {r["t"]: r["c"] for r in stats if r["t"] is not None}
+    whole = [r for r in stats if r["t"] is None]
+    totals = {"n_docs": whole[0]["c"] if whole else 0, "n_all": whole[0]["l"] if whole else 0}
     parts = []
     for b in range(0, len(parsed), QUERY_BLOCK):
         block = [p for p in parsed[b:b + QUERY_BLOCK] if p[2]]
