@@ -241,8 +241,9 @@ def runs_of(words: list[str]) -> list[tuple[int, int, int]]:
     """Sorted ``(start, length, period)`` of every run (see the module's text)."""
     if len(words) < MIN_WORDS:
         return []
-    _, ids = np.unique(np.array(words, dtype=object), return_inverse=True)
-    ids = ids.astype(np.int64)
+    # symbols numbered by first occurrence: any total order of the symbols serves the runs theorem
+    index: dict[str, int] = {}
+    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
     found = []
     for a, b in windows(ids):
         found += [(a + s, l, p) for s, l, p in window_runs(ids[a:b].tolist())]
