@@ -110,20 +110,25 @@ def _search(block: list[tuple], df: dict[str, int], n_docs: int, n_all: int, bin
                 ids = all_ids[a:a + DOC_BLOCK]
                 sk = np.zeros((len(ids), bins))
                 exact: list[dict[str, int]] = []
+                rows, cells, values = [], [], []
                 for j, text in enumerate(texts[a:a + DOC_BLOCK]):
                     tf = Counter(terms_in(text))
                     n = sum(tf.values())
                     mine = {}
                     if n:
                         m = 100 - B_PERCENT + (B_PERCENT * n * n_docs) // n_all
-                        terms = list(tf)
-                        counts = np.fromiter(tf.values(), np.int64, len(terms))
-                        info = np.array([look(t) for t in terms], np.int64).reshape(-1, 2)
-                        where, w = info[:, 0], info[:, 1]
-                        impact = w * ((1000000000 * counts) // (1000 * counts + 12 * m))
-                        np.maximum.at(sk[j], where, impact.astype(float))
-                        mine = {t: int(v) for t, v in zip(terms, impact) if t in w_of}
+                        size = len(tf)
+                        counts = np.fromiter(tf.values(), np.int64, size)
+                        info = np.fromiter((v for t in tf for v in look(t)), np.int64, 2 * size)
+                        rows.append(np.full(size, j, np.int64))
+                        cells.append(info[0::2])
+                        values.append(info[1::2] * ((1000000000 * counts) // (1000 * counts + 12 * m)))
+                        for t in tf.keys() & w_of.keys():
+                            c = tf[t]
+                            mine[t] = w_of[t] * ((1000000000 * c) // (1000 * c + 12 * m))
                     exact.append(mine)
+                if rows:
+                    np.maximum.at(sk, (np.concatenate(rows), np.concatenate(cells)), np.concatenate(values).astype(float))
                 bound = weights @ sk.T * (1 + 1e-12) + 1  # exact below 2**53; the margin covers rounding above
                 for i, (_, _, qterms) in enumerate(block):
                     row = bound[i]
