@@ -8,22 +8,25 @@ of Jaccard similarity s meet in some band with probability 1 - (1 - s^ROWS)^BAND
 
 Documents with identical sets are first reduced to one representative (equal sets are those with equal SHA-256 digests of the whole
 sorted set, so no set is shuffled for them).  In every
-band bucket of representatives each member is verified on the full sets against the bucket's smallest member (a star, so a bucket of a
-third of all documents is n pairs, not n^2); verified links and equal sets make a graph whose components come from
-``connected_components``.  All steps are aggregates with partial sums and equi-joins whose hot keys AQE splits.
+band bucket of representatives each member is first verified on the full sets against the bucket's smallest member (a star, so a bucket of a
+third of all documents is n pairs, not n^2).  Two members may link although neither links with that member, so every bucket that still holds
+several components after the stars is taken up again: all its pairs across components whose sizes and sketches allow the threshold form
+families, and within a family these pairs are verified on the full sets, in blocks of ``BLOCK`` rows against ``BLOCK`` rows.  Verified
+links and equal sets make a graph whose components come from ``connected_components``.
 
 Defined results: words are maximal runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a document's set is its distinct ``width``-word
 shingles, or the whole word sequence as one shingle when it has fewer words; a null or wordless text has an empty set, links with nothing
 and is its own component; component_id is the smallest non-null doc_id of the component (null if it has none); kept is
 ``doc_id <=> component_id`` (so repeated rows of the smallest id are all kept); every row is its own document; an empty table gives an
-empty result.  Links are found by banding: a pair above the threshold whose sets never share a band bucket with a verified star centre is
-missed with the probability above; no verified link is ever dropped.
+empty result.  Links are found by banding: a pair at the threshold is missed with the probability above that it shares no band, and one of
+``MISS`` that its sketches agree in too few coordinates; no verified link is ever dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .common import U64, bounded_batches, buffers, chunks, maybe_in, mix, shingles
+from .common import U64, Links, boundaries, bounded_batches, buffers, by_part, chunks, maybe_in, mix, shingles, whole_groups
 
 #: Coordinates of a sketch (a power of two), and of one band.
 SKETCH, ROWS = 128, 4
 BANDS = SKETCH // ROWS
+#: Rows of one side of a block of pairs.
+BLOCK = 512
+#: Probability that the sketches of a pair at the threshold agree in fewer coordinates than ``least_agreement``.
+MISS = 1e-9
 _SALT_BIN, _SALT_VALUE, _SALT_BAND = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0)
 
 
@@ -67,20 +74,30 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def least_agreement(percent: int) -> int:
+    """Coordinates in which the sketches of two sets at the threshold agree, but for a probability of at most ``MISS``."""
+    p, below, c = percent / 100, 0.0, 0
+    while (below := below + comb(SKETCH, c) * p ** c * (1 - p) ** (SKETCH - c)) <= MISS:
+        c += 1
+    return c
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            sets, bands, digests = [], [], []
+            sets, bands, digests, sketches = [], [], [], []
             for a, b in chunks(offsets):
                 for s in shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width):
                     sets.append(s.view(np.int64))
                     digests.append(hashlib.sha256(s.tobytes()).digest())  # of the whole sorted set
-                    bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
+                    sk = sketch(s)
+                    bands.append(band_keys(sk) if len(s) else np.zeros(0, np.int64))
+                    sketches.append((sk & U64(255)).astype(np.uint8).tobytes())  # a byte per coordinate tells them apart but for 1 in 256
             yield pa.RecordBatch.from_arrays([
                 batch.column("_rk"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(sets, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["_rk", "doc_id", "n_shingles", "shingles", "digest", "bands"])
+                pa.array(sets, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary())], ["_rk", "doc_id", "n_shingles", "shingles", "digest", "bands", "sketch"])
     return run
 
 
@@ -93,13 +110,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * inter >= F.lit(percent) * (F.col("na") + F.col("nb") - inter)).select("a", "b")
 
 
+def _blocks(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of each group dealt so that every two of them meet in one ``gid``, of at most about twice ``BLOCK`` rows; ``cross`` is set where
+    only rows of different ``side`` are to be paired there."""
+    many = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nb"))
+    dealt = rows.join(many, group).withColumn("side", F.pmod(F.xxhash64("_rk"), F.col("_nb")).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    # two groups whose hashes collide only compare more pairs
+    return dealt.withColumn("gid", F.xxhash64(*group, F.least("side", "_other"), F.greatest("side", "_other"))).withColumn(
+        "cross", F.col("side") != F.col("_other")).drop("_nb", "_other", *group)
+
+
+def _possible(t: pa.Table, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a block, across components, whose sizes and sketches allow the threshold."""
+    comp, n, side, cross = (t.column(c).to_numpy() for c in ("comp", "n_shingles", "side", "cross"))
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(n), SKETCH)
+    may = np.triu(comp[:, None] != comp[None, :], 1) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+    if cross.all():
+        may &= side[:, None] != side[None, :]
+    i, j = np.nonzero(may)
+    step = 1 << 15
+    good = [np.count_nonzero(sk[i[k:k + step]] == sk[j[k:k + step]], axis=1) >= least for k in range(0, len(i), step)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
+    return i[good], j[good]
+
+
+def _block_links(percent: int, exact: bool):
+    """For ``mapInArrow`` over rows of ``_blocks``: links ``(a, b)`` that hold together what the block's pairs join, after the full sets
+    reach the threshold (``exact``) or where sizes and sketches allow it."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "gid"):
+            table = table.combine_chunks()
+            ends = boundaries(table.column("gid").to_numpy())
+            found_a, found_b = [], []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                t = table.slice(lo, hi - lo)
+                i, j = _possible(t, percent, least)
+                if not len(i):
+                    continue
+                rk, sets, joined = t.column("_rk").to_numpy(), None, Links(hi - lo)
+                if exact:
+                    lists = t.column("shingles").chunk(0)
+                    flat, at = lists.flatten().to_numpy().view(U64), np.concatenate([[0], np.cumsum(t.column("n_shingles").to_numpy())])
+                    sets = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if joined.root(x) == joined.root(y):
+                        continue
+                    if exact:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both < percent * (len(sets[x]) + len(sets[y]) - both):
+                            continue
+                    joined.join(x, y)
+                    found_a.append(int(rk[x]))
+                    found_b.append(int(rk[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+    return run
+
+
+def _beyond_stars(stars: DataFrame, near: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` between members of one bucket in different components after the stars."""
+    comps = connected_components(near, "a", "b").select(F.col("node").alias("_rk"), "component")
+    placed = stars.where(F.col("n") > 2).join(comps, "_rk", "left").withColumn("comp", F.coalesce("component", "_rk")).drop("component")
+    still_open = placed.groupBy("band", "key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
+    members = materialize(placed.join(still_open, ["band", "key"]).select("_rk", "band", "key", "comp"), "minhash-open")
+    light = members.join(filled.select("_rk", "n_shingles", "sketch"), "_rk")
+    possible = materialize(by_part(_blocks(light, ["band", "key"]), "gid").mapInArrow(_block_links(percent, False), "a long, b long"),
+                           "minhash-possible")
+    family = connected_components(possible, "a", "b").select(F.col("node").alias("_rk"), F.col("component").alias("family"))
+    family = materialize(family.join(members.select("_rk", "comp").distinct(), "_rk"), "minhash-families")
+    schema = "_rk long, shingles array<long>, n_shingles long, sketch binary"
+    wanted = filled.select("_rk", "shingles", "n_shingles", "sketch").mapInArrow(maybe_in(family, "_rk"), schema)
+    return materialize(by_part(_blocks(family.join(wanted, "_rk"), ["family"]), "gid").mapInArrow(
+        _block_links(percent, True), "a long, b long"), "minhash-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (see the module's text)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "_rk", F.monotonically_increasing_id())
     sets = materialize(rows.mapInArrow(
-        _sets(width), "_rk long, doc_id long, n_shingles long, shingles array<long>, digest binary, bands array<long>"), "minhash-sets")
+        _sets(width), "_rk long, doc_id long, n_shingles long, shingles array<long>, digest binary, bands array<long>, sketch binary"),
+        "minhash-sets")
     filled = sets.where(F.col("n_shingles") > 0)
     # equal sets: one representative each, equal by the SHA-256 of the whole sorted set (no set travels in a shuffle)
     keyed = filled.select("_rk", "digest", "n_shingles")
@@ -109,16 +203,17 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     # representatives (rows not confirmed equal to another) are banded; each bucket is a star around its smallest member
     heads = filled.select("_rk", "bands").join(equal.select(F.col("a").alias("_rk")), "_rk", "left_anti")
     buckets = heads.select("_rk", F.posexplode("bands").alias("band", "key"))
-    centre = buckets.groupBy("band", "key").agg(F.min("_rk").alias("c"))
-    pairs = buckets.join(centre, ["band", "key"]).where(F.col("_rk") != F.col("c")).select(
-        F.col("_rk").alias("a"), F.col("c").alias("b")).distinct()
+    centre = buckets.groupBy("band", "key").agg(F.min("_rk").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = materialize(buckets.join(centre, ["band", "key"]), "minhash-stars")
+    pairs = stars.where(F.col("_rk") != F.col("c")).select(F.col("_rk").alias("a"), F.col("c").alias("b")).distinct()
     pairs = materialize(pairs, "minhash-pairs")
     # only documents of some candidate pair bring their sets to the verifying joins: a bitmap of their keys thins the table first
     ends = pairs.select(F.col("a").alias("_rk")).unionByName(pairs.select(F.col("b").alias("_rk")))
     wanted = filled.select("_rk", "shingles", "n_shingles").mapInArrow(
         maybe_in(ends, "_rk"), "_rk long, shingles array<long>, n_shingles long")
     near = materialize(_verified(pairs, wanted, percent), "minhash-near")
-    comps = connected_components(equal.unionByName(near), "a", "b")
+    beyond = _beyond_stars(stars, near, filled, percent)
+    comps = connected_components(equal.unionByName(near).unionByName(beyond), "a", "b")
     ids = sets.select("_rk", "doc_id", "n_shingles")
     labelled = ids.join(comps.select(F.col("node").alias("_rk"), "component"), "_rk", "left").withColumn(
         "component", F.coalesce("component", "_rk"))

@@ -82,6 +82,27 @@ def test_families_and_chains(spark):
     assert _got(mh.near_duplicates(df)) == brute(rows)
 
 
+def test_links_between_members_that_miss_the_buckets_smallest(spark, monkeypatch):
+    """Twins link with each other and with nobody else, but their buckets hold many smaller members of the family."""
+    monkeypatch.setattr(mh, "BLOCK", 8, raising=False)  # every bucket and family is cut into several blocks
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(201)]  # 200 shingles
+    rows = []
+    for pair in range(30):
+        at = rng.choice(np.arange(1, 200, 2), 12, replace=False)
+        for twin in range(2):  # twins share 180 of 220 shingles, others about 172 of 228
+            w = list(base)
+            for k in at[:2]:
+                w[k] = f"both{pair}_{k}"
+            for k in at[2 + 5 * twin:7 + 5 * twin]:
+                w[k] = f"own{pair}_{twin}_{k}"
+            rows.append((pair + 100 * twin, " ".join(w)))
+    df = spark.createDataFrame(sorted(rows), "doc_id long, text string").coalesce(1)  # row keys follow the ids
+    want = brute(sorted(rows))
+    assert sum(r[2] != r[0] for r in want) >= 30
+    assert _got(mh.near_duplicates(df)) == want
+
+
 def test_empty_and_clashing(spark, nothing, edge):
     assert mh.near_duplicates(nothing).count() == 0
     clash = edge.withColumnRenamed("n", "_rk").withColumn("component", edge["doc_id"]).withColumn("bands", edge["text"])
