@@ -62,6 +62,35 @@ def test_shapley_equals_enumeration(spark, table, forest, monkeypatch):
             assert abs(want - got[j]) < 1e-9
 
 
+def test_codes_of_outcomes_give_the_same_shapley_values(monkeypatch):
+    """All rows of a block go through a tree at once; as leaf by leaf, also for NaN, and for more features than a code holds."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (300, 5)), rng.normal(0, 1, 300)
+    nodes = {k: np.array(v) for k, v in zip(rg.NODE_NAMES, zip(*rg.grow_tree(x, y + 3 * x[:, 0] * x[:, 3], 12)))}
+    rows = np.concatenate([x, rng.normal(0, 2, (5000, 5))])
+    rows[::9, 2] = np.nan
+    want = rg.shapley_of(rows, rg.leaf_paths(nodes))
+    assert np.abs(want).max() > 0.1 and np.allclose(rg.shapley_of_tree(rows, nodes), want, atol=1e-10)
+    monkeypatch.setattr(rg, "CODE_FEATURES", 4)
+    assert np.allclose(rg.shapley_of_tree(rows, nodes), want, atol=1e-10)
+    single = {k: np.array([v]) for k, v in zip(rg.NODE_NAMES, (0, 1.5, 3.0, -1, -1, -1, 0.0))}
+    assert (rg.shapley_of_tree(rows, single) == 0).all()
+
+
+def test_rows_are_not_sent_once_per_tree(spark, table, monkeypatch):
+    """With as many blocks as keep the cores busy, a row meets all trees in one group."""
+    model = rg.fit_forest(table, ["a", "b", "c"], "y", n_trees=30, max_depth=4, fit_rows=100)
+    rows = table.withColumn("_uid", F.col("k"))
+    monkeypatch.setattr(rg, "BLOCK_ROWS", 1)
+    sent = []
+    real = F.sequence
+    monkeypatch.setattr(rg.F, "sequence", lambda a, b, *more: (sent.append(b), real(a, b, *more))[1])
+    got = rg.shapley_rows(model, model.nodes, rows, ["a", "b", "c"])
+    assert got.count() == table.count()
+    copies = spark.range(1).select(sent[0] + 1).first()[0]
+    assert copies <= max(1, -(-4 * spark.sparkContext.defaultParallelism // table.count()))
+
+
 def test_unknown_key_has_no_explanation(table, forest):
     assert rg.explain_rows(forest, table.where("k = 999"), "k", ["a", "b", "c"]).count() == 0
 
