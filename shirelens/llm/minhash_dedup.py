@@ -169,9 +169,8 @@ def _block_links(percent: int, exact: bool):
     return run
 
 
-def _beyond_stars(stars: DataFrame, near: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
-    """Verified links ``(a, b)`` between members of one bucket in different components after the stars."""
-    comps = connected_components(near, "a", "b").select(F.col("node").alias("_rk"), "component")
+def _beyond_stars(stars: DataFrame, comps: DataFrame, filled: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` between members of one bucket in different components after the stars, ``comps`` of ``_rk, component``."""
     placed = stars.where(F.col("n") > 2).join(comps, "_rk", "left").withColumn("comp", F.coalesce("component", "_rk")).drop("component")
     still_open = placed.groupBy("band", "key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
     members = materialize(placed.join(still_open, ["band", "key"]).select("_rk", "band", "key", "comp"), "minhash-open")
@@ -212,8 +211,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     wanted = filled.select("_rk", "shingles", "n_shingles").mapInArrow(
         maybe_in(ends, "_rk"), "_rk long, shingles array<long>, n_shingles long")
     near = materialize(_verified(pairs, wanted, percent), "minhash-near")
-    beyond = _beyond_stars(stars, near, filled, percent)
-    comps = connected_components(equal.unionByName(near).unionByName(beyond), "a", "b")
+    joined = connected_components(near, "a", "b").select(F.col("node").alias("_rk"), "component")
+    beyond = _beyond_stars(stars, joined, filled, percent)
+    # what the stars joined enters as one edge per member
+    within = joined.select(F.col("_rk").alias("a"), F.col("component").alias("b"))
+    comps = connected_components(equal.unionByName(within).unionByName(beyond), "a", "b")
     ids = sets.select("_rk", "doc_id", "n_shingles")
     labelled = ids.join(comps.select(F.col("node").alias("_rk"), "component"), "_rk", "left").withColumn(
         "component", F.coalesce("component", "_rk"))

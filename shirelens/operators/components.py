@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
+#: Edges that a task contracts at once.
+LOCAL_EDGES = 1 << 20
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the components of the given ones: every node points at the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        ra, rb = root[a], root[b]
+        np.minimum.at(root, ra, rb)
+        np.minimum.at(root, rb, ra)
+        while ((up := root[root]) != root).any():
+            root = up
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[child], nodes[root[child]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, held[0].schema.field(0).type) for x in _stars(
+            *(np.concatenate([np.asarray(b.column(k)) for b in held]) for k in ("u", "v")))], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LOCAL_EDGES:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
+def _contracted(e: DataFrame) -> DataFrame:
+    """The edges of each task replaced by stars with the same components, at most one edge per node there."""
+    if {t for _, t in e.dtypes} - {"bigint", "int"}:  # other keys are left to the rounds
+        return e
+    return e.mapInArrow(_contract, e.schema)
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node on an edge; the component is its smallest node.
@@ -13,12 +58,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Large-star / small-star rounds (Kiveris et al. 2014): each round re-points edges at the smallest
     neighbour, which halves path lengths instead of walking them.  All steps are min-aggregates and
     equi-joins against one row per node, so a hub that holds a third of the edges is pre-aggregated before
-    its shuffle and can be split by AQE in the join.  Lineage is cut each round by a table in the shared folder.
+    its shuffle and can be split by AQE in the join.  Before and after each round every task contracts the edges
+    it holds by itself, so rounds are only needed for what lies in different tasks.  Lineage is cut each round by a
+    table in the shared folder.
     """
     hi, lo = F.greatest(src, dst), F.least(src, dst)
     e = edges.where(F.col(src) != F.col(dst)).select(hi.alias("u"), lo.alias("v")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(_contracted(e), "edges")
     for _ in range(max_rounds):
+        if _is_star_forest(e):
+            break
         # large star: every larger neighbour of u goes to the smallest node around u
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         root = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -29,9 +78,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(
             "u != v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        e = materialize(small.distinct(), "stars")
-        if _is_star_forest(e):
-            break
+        e = materialize(_contracted(small.distinct()), "stars")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

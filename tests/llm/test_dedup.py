@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from shirelens.llm import exact_dedup, jaccard_join, suffix_dedup
+from pyspark.sql import functions as F
+
+from shirelens.llm import common, exact_dedup, jaccard_join, suffix_dedup
 
 from .conftest import SCHEMA, edge_rows, prose
 
@@ -170,5 +172,19 @@ def test_repeats_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_key_filter_is_gathered_as_bits(spark, monkeypatch):
+    keys = spark.range(0, 4000, 2, 3).select((F.col("id") * 1_000_003).alias("k"))
+    rows = spark.range(4000).select((F.col("id") * 1_000_003).alias("k"))
+    gathered = []
+    keep = common.any_of_bitmaps
+    monkeypatch.setattr(common, "any_of_bitmaps", lambda parts: (gathered.append(keep(parts)), gathered[-1])[1])
+    inside = {r.k for r in rows.mapInArrow(common.maybe_in(keys, "k"), "k long").collect()}
+    outside = {r.k for r in rows.mapInArrow(common.maybe_in(keys, "k", invert=True), "k long").collect()}
+    wanted = {r.k for r in keys.collect()}
+    assert wanted <= inside and len(inside) < 2050 and not inside & outside and len(inside | outside) == 4000
+    assert [x.nbytes for x in gathered] == [(1 << common.FILTER_BITS) // 8] * 2
+    assert not rows.mapInArrow(common.maybe_in(keys.where("k < 0"), "k"), "k long").collect()
+
+
 def test_schema_names_clash_on_purpose():
     assert {"part", "id", "uid", "node", "n"} <= {f.split()[0] for f in SCHEMA.split(", ")}

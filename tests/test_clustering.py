@@ -5,6 +5,7 @@ import pytest
 
 import shirelens.operators.links as links
 import shirelens.operators.spatial as sp
+from shirelens.operators import components
 from shirelens.operators.components import connected_components
 
 R = 6371.0
@@ -123,6 +124,20 @@ def test_components_of_a_path_and_a_hub(spark):
     assert connected_components(df.where("src > 900")).count() == 0
 
 
+def test_edges_of_one_task_are_contracted_there(spark, monkeypatch):
+    made = []
+    keep = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label, **kw: (made.append(label), keep(df, label, **kw))[1])
+    path = [(i * 7919 % 1000, (i + 1) * 7919 % 1000) for i in range(900)]
+    df = spark.createDataFrame(path, "src long, dst long")
+    got = {r[0]: r[1] for r in connected_components(df).collect()}
+    assert len(got) == 901 and set(got.values()) == {min(got)} and made == ["edges"]  # no round
+    monkeypatch.setattr(components, "LOCAL_EDGES", 40)  # 900 edges in stars of 40 at a time
+    assert {r[0]: r[1] for r in connected_components(df).collect()} == got
+    words = connected_components(spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y")], "src string, dst string")).collect()
+    assert {tuple(r) for r in words} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
 def test_grid_cells_truncate(spark):
     df = spark.createDataFrame([(3, "a", 1.0, 2.0, 0.39, 5.0)], "cluster_id long, region string, center_lat double, center_lon double, risk_score double, severity_mean double")
     r = sp.grid_cells(df).first()
