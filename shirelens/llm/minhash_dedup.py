@@ -11,7 +11,8 @@ sorted set, so no set is shuffled for them).  In every
 band bucket of representatives each member is first verified on the full sets against the bucket's smallest member (a star, so a bucket of a
 third of all documents is n pairs, not n^2).  Two members may link although neither links with that member, so every bucket that still holds
 several components after the stars is taken up again: all its pairs across components whose sizes and sketches allow the threshold form
-families, and within a family these pairs are verified on the full sets, in blocks of ``BLOCK`` rows against ``BLOCK`` rows.  Verified
+families, and within a family these pairs are verified on the full sets, in blocks of ``BLOCK`` rows against ``BLOCK`` rows.  Members of
+the largest component there meet only those outside it.  Verified
 links and equal sets make a graph whose components come from ``connected_components``.
 
 Defined results: words are maximal runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a document's set is its distinct ``width``-word
@@ -111,14 +112,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Rows of each group dealt so that every two of them meet in one ``gid``, of at most about twice ``BLOCK`` rows; ``cross`` is set where
-    only rows of different ``side`` are to be paired there."""
-    many = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nb"))
-    dealt = rows.join(many, group).withColumn("side", F.pmod(F.xxhash64("_rk"), F.col("_nb")).cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    """Rows of each group dealt so that every two of them in different components meet in one ``gid``, of at most about twice ``BLOCK`` rows;
+    ``cross`` is set where only rows of different ``side`` are to be paired there.
+
+    Rows of a group's largest component meet only the rows outside it, so a component of n rows among m others costs about n * m / BLOCK
+    rows and not the square of the group."""
+    per_comp = rows.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    sized = per_comp.groupBy(*group).agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = sized.select(*group, F.col("_m.comp").alias("_major"), blocks(F.col("_m.n")).alias("_nm"),
+                         blocks(F.col("_n") - F.col("_m.n")).alias("_nr")).where("_nr > 0")  # no others: nothing to pair
+    major = F.col("comp") == F.col("_major")
+    dealt = rows.join(sized, group).withColumn("_major", major).withColumn(
+        "_own", F.pmod(F.xxhash64("_rk"), F.when(F.col("_major"), F.col("_nm")).otherwise(F.col("_nr"))).cast("int"))
+    own, to = F.col("_own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda mixed, i, j: F.struct(F.lit(mixed).alias("mixed"), i.alias("i"), j.alias("j"))
+    places = F.when(F.col("_major"), F.transform(to("_nr"), lambda j: place(True, own, j))).otherwise(F.concat(
+        F.transform(to("_nm"), lambda i: place(True, i, own)),
+        F.transform(to("_nr"), lambda o: place(False, F.least(own, o), F.greatest(own, o)))))
+    dealt = dealt.withColumn("_at", F.explode(places))
     # two groups whose hashes collide only compare more pairs
-    return dealt.withColumn("gid", F.xxhash64(*group, F.least("side", "_other"), F.greatest("side", "_other"))).withColumn(
-        "cross", F.col("side") != F.col("_other")).drop("_nb", "_other", *group)
+    return dealt.withColumn("gid", F.xxhash64(*group, "_at.mixed", "_at.i", "_at.j")).withColumn(
+        "side", F.when(F.col("_at.mixed"), F.col("_major").cast("int")).otherwise(own)).withColumn(
+        "cross", F.col("_at.mixed") | (F.col("_at.i") != F.col("_at.j"))).drop("_major", "_nm", "_nr", "_own", "_at", *group)
 
 
 def _possible(t: pa.Table, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:

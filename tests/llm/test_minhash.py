@@ -103,6 +103,23 @@ def test_links_between_members_that_miss_the_buckets_smallest(spark, monkeypatch
     assert _got(mh.near_duplicates(df)) == want
 
 
+def test_blocks_of_a_large_component_meet_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(mh, "BLOCK", 20)
+    comp = [0] * 1000 + list(range(1000, 1030)) + [1030] * 5
+    rows = [(1, i, c) for i, c in enumerate(comp)] + [(2, 5000 + i, 7) for i in range(100)] + [(3, 6000 + i, i) for i in range(45)]
+    got = mh._blocks(spark.createDataFrame(rows, "grp int, _rk long, comp long"), ["grp"]).collect()
+    assert len(got) < 1000 * 2 + 35 * 52 + 45 * 4 + 50  # the square: 1,035 * 52
+    met, sizes = set(), {}
+    for r in got:
+        sizes.setdefault(r.gid, []).append(r)
+    for block in sizes.values():
+        assert len(block) < 90 and len({r.cross for r in block}) == 1
+        met |= {(a["_rk"], b["_rk"]) for a in block for b in block if a.comp != b.comp and (not a.cross or a.side != b.side)}
+    for g in (1, 2, 3):
+        own = [(rk, c) for k, rk, c in rows if k == g]
+        assert {(a, b) for a, x in own for b, y in own if x != y} == {p for p in met if p[0] in dict(own)}
+
+
 def test_empty_and_clashing(spark, nothing, edge):
     assert mh.near_duplicates(nothing).count() == 0
     clash = edge.withColumnRenamed("n", "_rk").withColumn("component", edge["doc_id"]).withColumn("bands", edge["text"])
