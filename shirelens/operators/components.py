@@ -12,6 +12,8 @@ from ..session import materialize
 
 #: Edges that a task contracts at once.
 LOCAL_EDGES = 1 << 20
+#: Edges for which ``_gathered`` plans a task.
+TASK_EDGES = 1 << 18
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +47,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def _numbered(e: DataFrame) -> bool:
+    """Whether tasks can contract these edges; edges of other keys are left to the rounds."""
+    return not {t for _, t in e.dtypes} - {"bigint", "int"}
+
+
 def _contracted(e: DataFrame) -> DataFrame:
     """The edges of each task replaced by stars with the same components, at most one edge per node there."""
-    if {t for _, t in e.dtypes} - {"bigint", "int"}:  # other keys are left to the rounds
-        return e
-    return e.mapInArrow(_contract, e.schema)
+    return e.mapInArrow(_contract, e.schema) if _numbered(e) else e
+
+
+def _gathered(e: DataFrame) -> tuple[DataFrame, bool]:
+    """Written edges that lie in many small files are contracted once more in tasks of about TASK_EDGES; also whether they are settled.
+
+    A shuffle of few edges over many partitions leaves hardly two edges of a component in one task.  A larger input gets more
+    of these tasks, not larger ones.
+    """
+    tasks = -(-e.count() // TASK_EDGES)
+    if _numbered(e) and len(e.inputFiles()) > tasks > 0:
+        e = materialize(_contracted(e.coalesce(tasks)), "gathered")
+    return e, _is_star_forest(e)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -58,15 +75,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Large-star / small-star rounds (Kiveris et al. 2014): each round re-points edges at the smallest
     neighbour, which halves path lengths instead of walking them.  All steps are min-aggregates and
     equi-joins against one row per node, so a hub that holds a third of the edges is pre-aggregated before
-    its shuffle and can be split by AQE in the join.  Before and after each round every task contracts the edges
-    it holds by itself, so rounds are only needed for what lies in different tasks.  Lineage is cut each round by a
+    its shuffle and can be split by AQE in the join.  Before and after each round tasks contract the edges
+    they hold by themselves, so rounds are only needed for what lies in different tasks.  Lineage is cut each round by a
     table in the shared folder.
     """
     hi, lo = F.greatest(src, dst), F.least(src, dst)
     e = edges.where(F.col(src) != F.col(dst)).select(hi.alias("u"), lo.alias("v")).distinct()
-    e = materialize(_contracted(e), "edges")
+    e, settled = _gathered(materialize(_contracted(e), "edges"))
     for _ in range(max_rounds):
-        if _is_star_forest(e):
+        if settled:
             break
         # large star: every larger neighbour of u goes to the smallest node around u
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,7 +95,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(
             "u != v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        e = materialize(_contracted(small.distinct()), "stars")
+        e, settled = _gathered(materialize(_contracted(small.distinct()), "stars"))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -138,6 +138,21 @@ def test_edges_of_one_task_are_contracted_there(spark, monkeypatch):
     assert {tuple(r) for r in words} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
+def test_edges_in_many_small_files_meet_without_rounds(spark, monkeypatch):
+    made = []
+    keep = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label, **kw: (made.append(label), keep(df, label, **kw))[1])
+    df = spark.createDataFrame([(i * 7919 % 1000, (i + 1) * 7919 % 1000) for i in range(900)] + [(2000, 2001), (3000, None)], "src long, dst long")
+    want = {i * 7919 % 1000: 0 for i in range(901)} | {2000: 2000, 2001: 2000}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r[0]: r[1] for r in connected_components(df).collect()} == want and made == ["edges", "gathered"]
+        monkeypatch.setattr(components, "TASK_EDGES", 300)  # more than one task: the rounds take over
+        assert {r[0]: r[1] for r in connected_components(df).collect()} == want and "stars" in made
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_grid_cells_truncate(spark):
     df = spark.createDataFrame([(3, "a", 1.0, 2.0, 0.39, 5.0)], "cluster_id long, region string, center_lat double, center_lon double, risk_score double, severity_mean double")
     r = sp.grid_cells(df).first()
