@@ -115,6 +115,18 @@ def test_distance_join_equals_brute_force(spark):
     assert got == set(zip(*map(lambda v: v.tolist(), np.nonzero(distances(p, b) <= 7.0))))
 
 
+def test_distances_by_matrix_product_follow_the_definition():
+    rng = np.random.default_rng(4)
+    p, q = np.round(rng.uniform(-50, 50, (90, 3)), 1), np.round(rng.uniform(-50, 50, (80, 3)), 1)
+    q[:40] = p[:40] + [[0.0, 1.5, 0.0]]  # on the edge
+    p[50], q[60] = np.nan, np.inf
+    gap = np.zeros((90, 80))
+    for x in range(3):
+        gap += (p[:, None, x] - q[None, :, x]) ** 2
+    with np.errstate(invalid="ignore"):
+        assert (sp._within(p, q, 1.5) == (np.sqrt(gap) <= 1.5)).all()
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     hub = [(100, i) for i in range(101, 180)] + [(500, 500)]
