@@ -125,6 +125,11 @@ def _unpack(batches):
                 pa.array(e["uid"], pa.int64()), pa.array(e["cp"], pa.int64()), pa.array(e["n"], pa.int64())], schema=_TABLE)
 
 
+def _merge_last(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last round unpacks what it merged, so that a task needs one Python worker and not two."""
+    yield from _unpack(_merge_round(key, batches))
+
+
 def tree_merge(rows: DataFrame) -> DataFrame:
     """``(digest, keep_id, keep_uid, keep_cp, group_size)`` for ``(id, uid, digest, size, cp)`` of a written table."""
     spark = rows.sparkSession
@@ -132,11 +137,11 @@ def tree_merge(rows: DataFrame) -> DataFrame:
     runs = rows.mapInArrow(_first_runs(ranges), RUN)
     sources = 1 + (rows.agg(F.max(F.shiftright("uid", 33))).first()[0] or 0)
     while True:
-        met = runs.withColumn("run", F.shiftright("run", FAN_BITS))
-        runs = met.groupBy("range", "run").applyInArrow(_merge_round, RUN)
+        met = runs.withColumn("run", F.shiftright("run", FAN_BITS)).groupBy("range", "run")
         sources = -(-sources // (1 << FAN_BITS))
         if sources <= 1:
-            return runs.mapInArrow(_unpack, "digest binary, keep_id long, keep_uid long, keep_cp long, group_size long")
+            return met.applyInArrow(_merge_last, "digest binary, keep_id long, keep_uid long, keep_cp long, group_size long")
+        runs = met.applyInArrow(_merge_round, RUN)
 
 
 def _slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

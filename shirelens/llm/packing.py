@@ -36,8 +36,8 @@ SEPARATOR = 0
 GROUPS = 24
 #: Pieces longer than a capacity divided by this are large; each is tried and the plan with the fewest sequences stays.
 SMALL_PARTS = (2, 3, 4)
-#: Distinct words whose ids a Python worker remembers.
-WORD_CACHE = 600_000
+#: Distinct words whose ids a Python worker remembers: those met lately, and as many met before them.
+WORD_CACHE = 100_000
 #: Pieces ranked together in a task.
 RANK_ROWS = 100_000
 
@@ -65,6 +65,7 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> "WordTokenizer":
@@ -95,9 +96,12 @@ class WordTokenizer:
         """Ids of each text.  ASCII letters are folded first, as the vocabulary does."""
         split = [t.lower().split() for t in texts]
         if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         missing = set().union(*split).difference(known) if split else set()
+        again = missing & before.keys() if before else set()
+        known.update((w, before[w]) for w in again)
+        missing -= again
         # a final full stop or comma after a letter is a word of its own under the vocabulary: learn the stem once
         tails = {w: (w[:-1], w[-1:]) for w in missing if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
         need = (missing - tails.keys()) | {p for pair in tails.values() for p in pair}

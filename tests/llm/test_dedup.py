@@ -188,3 +188,12 @@ def test_key_filter_is_gathered_as_bits(spark, monkeypatch):
 
 def test_schema_names_clash_on_purpose():
     assert {"part", "id", "uid", "node", "n"} <= {f.split()[0] for f in SCHEMA.split(", ")}
+
+
+def test_digests_are_unpacked_by_the_worker_that_merged_them(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").repartition(5)
+    groups = exact_dedup.tree_merge(exact_dedup._slim(df, "doc_id", "text"))
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[:plan.index("FlatMapGroupsInArrow")]
+    assert "MapInArrow" not in last  # one Python worker in the last stage
+    assert sorted((r.keep_id, r.group_size) for r in groups.collect()) == [(i, 6 if i < 5 else 5) for i in range(7)]

@@ -357,3 +357,17 @@ def test_pipeline_keeps_one_of_each_copy_and_redacts(spark):
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in names} and "pipeline" in names
+
+
+def test_word_memory_stays_bounded(monkeypatch):
+    """Words met lately and as many before them; a word met again is not forgotten, and ids do not depend on it."""
+    monkeypatch.setattr(packing, "WORD_CACHE", 50)
+    own, plain = packing.WordTokenizer(WORD_PATH), packing.WordTokenizer(WORD_PATH)
+    learned, keep = [], own._learn
+    own._learn = lambda new: (learned.extend(new), keep(new))[1]
+    for k in range(40):
+        text = b"steady " + b" ".join(b"rare%d" % (k * 20 + i) for i in range(20))
+        plain.known, plain.before = {}, {}
+        assert own.encode([text])[0].tolist() == plain.encode([text])[0].tolist()
+        assert len(own.known) + len(own.before) <= 2 * (50 + 21)
+    assert learned.count(b"steady") == 1
