@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from shirelens.llm import common, exact_dedup, jaccard_join, suffix_dedup
+from shirelens.llm import common, exact_dedup, jaccard_join, registry, suffix_dedup
 
 from .conftest import SCHEMA, edge_rows, prose
 
@@ -168,6 +168,34 @@ def test_repeats_over_windows_of_a_very_long_text(spark):
     assert got == {1: (1_300_000, 1), 2: (1_300_000, 1), 3: (1000, 1)}
 
 
+def test_repeats_of_one_very_common_anchor(spark, monkeypatch):
+    """One anchor with most of the rows, in equal and in different contexts: no plan gathers its rows by a window, and nothing is lost."""
+    plans, keep = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df, label))[1])
+    passage = prose(70, 18)[:110]
+    rows = [(k, "-" * (150 + k) + prose(400 + k, 8)) for k in range(12)] + [(100 + k, f"{k} {passage}{k * 7}") for k in range(40)]
+    df = spark.createDataFrame([*rows, (None, rows[20][1]), rows[21]], "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(df, length=100, gram=40).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats([*rows, (None, rows[20][1]), rows[21]], 100)
+    assert len(plans) > 4 and not [p for p in plans if "Window" in p]
+
+
+def test_repeats_query_returns_what_is_left(spark, tmp_path):
+    """Passages of over 50 words that documents share are gone from the query's text, and documents without one are left alone."""
+    passage = prose(61, 70)
+    rows = [(k, f"{prose(500 + k, 30)} {passage} {prose(600 + k, 30)}") for k in range(6)] + [(10 + k, prose(700 + k, 90)) for k in range(6)]
+    rows += [(20, "é" + prose(62, 70) + " end"), (21, "ĩ" + prose(62, 70) + "!"), (22, None), (23, "")]  # the last bytes of é and ĩ are equal
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op10_suffix_dedup"](spark, str(tmp_path)).collect()}
+    wanted = {r[0]: r for r in brute_repeats(rows, 400)}
+    for i, t in rows:
+        _, n, removed, spans, kept = wanted[i]
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+        assert got[i].text == kept.decode(errors="replace")
+        assert (passage in t and passage not in got[i].text) if i < 10 else i >= 20 or got[i].text == t
+    assert got[20].text == "\ufffd end" and got[21].text == "\ufffd!" and got[22].text == ""
+
+
 def test_repeats_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
