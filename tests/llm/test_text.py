@@ -325,6 +325,13 @@ def test_fingerprints_edges(edge, nothing):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_filters_on_fingerprints_stay_small(edge):
+    got = fingerprints.edited_pairs(edge)
+    plain = len(got._jdf.queryExecution().optimizedPlan().toString())
+    for condition in ("near_edited > 0.5", "near_next > 0.5", "edited_fingerprint <> ''", "near_edited is null or near_next < 0 or near_edited > 1"):
+        assert len(got.where(condition)._jdf.queryExecution().optimizedPlan().toString()) < 2 * plain
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_keep_columns(spark, edge, nothing, tmp_path):
