@@ -115,6 +115,13 @@ def test_distance_join_equals_brute_force(spark):
     assert got == set(zip(*map(lambda v: v.tolist(), np.nonzero(distances(p, b) <= 7.0))))
 
 
+def test_distance_join_of_one_file_is_dealt_out(spark):
+    pts = spark.range(0, 400, 1, 1).selectExpr("id as p", "12.5 + id / 1e5 as la", "74.5D as lo")
+    bases = spark.range(0, 50, 1, 1).selectExpr("id as b", "12.5 + id / 1e5 as bla", "74.5D as blo")
+    got = sp.distance_join(pts, bases, 3.0, ("p", "la", "lo"), ("b", "bla", "blo"))
+    assert got.count() == 400 * 50 and got.selectExpr("spark_partition_id() as task").distinct().count() > 1
+
+
 def test_distances_by_matrix_product_follow_the_definition():
     rng = np.random.default_rng(4)
     p, q = np.round(rng.uniform(-50, 50, (90, 3)), 1), np.round(rng.uniform(-50, 50, (80, 3)), 1)
