@@ -77,6 +77,33 @@ def test_codes_of_outcomes_give_the_same_shapley_values(monkeypatch):
     assert (rg.shapley_of_tree(rows, single) == 0).all()
 
 
+@pytest.mark.parametrize("cells,share", [(1 << 25, 400), (1 << 25, 1e9), (200, 400), (0, 400)])
+def test_coalition_grids_and_walks_give_the_same_shapley_values(monkeypatch, cells, share):
+    """Whatever coalitions are tabulated; a NaN goes right at every node, as in prediction."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(0, 1, (300, 5)), rng.normal(0, 1, 300)
+    trees = [{k: np.array(v) for k, v in zip(rg.NODE_NAMES, zip(*rg.grow_tree(x[i:], (y + 3 * x[:, 0] * x[:, 3])[i:], 12)))} for i in (0, 20)]
+    trees.append({k: np.array([v]) for k, v in zip(rg.NODE_NAMES, (0, 1.5, 3.0, -1, -1, -1, 0.0))})
+    rows = np.concatenate([x, rng.normal(0, 2, (500, 5))])
+    rows[::9, 2] = np.nan
+    want = sum(rg.shapley_of(np.where(np.isnan(rows), np.inf, rows), rg.leaf_paths(t)) for t in trees[:2])
+    monkeypatch.setattr(rg, "GRID_CELLS", cells)
+    monkeypatch.setattr(rg, "GRID_SHARE", share)
+    monkeypatch.setattr(rg, "LEAF_TABLES", 7)
+    monkeypatch.setattr(rg, "WALK_ROWS", 100)
+    assert np.abs(want).max() > 0.1 and np.allclose(rg.shapley_of_trees(rows, trees), want, atol=1e-9)
+    monkeypatch.setattr(rg, "CODE_FEATURES", 4)
+    assert np.allclose(rg.shapley_of_trees(rows, trees), want, atol=1e-9)
+
+
+def test_missing_features_are_explained_as_they_are_predicted(table):
+    holes = table.withColumn("b", F.when(F.col("k") % 5 == 0, F.lit(None)).when(F.col("k") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("b")))
+    model = rg.fit_forest(holes, ["a", "b", "c"], "y", n_trees=4, max_depth=6)
+    got = rg.explain_rows(model, holes, "k", ["a", "b", "c"], digits=9)
+    gap = F.abs(F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["shap_value"]) - F.col("model_output"))
+    assert got.where(gap < 1e-6).count() == holes.count()
+
+
 def test_rows_are_not_sent_once_per_tree(spark, table, monkeypatch):
     """With as many blocks as keep the cores busy, a row meets all trees in one group."""
     model = rg.fit_forest(table, ["a", "b", "c"], "y", n_trees=30, max_depth=4, fit_rows=100)
@@ -183,3 +210,19 @@ def test_predictions_learn_from_all_regions(spark, monkeypatch, name):
     with pytest.raises(Seen) as seen:
         queries.REGISTRY[name](spark, "/root/testdata/sf0.001").count()
     assert seen.value.args == (None,)
+
+
+@pytest.mark.parametrize("name", ["explained_regions"])
+def test_explanations_learn_from_all_regions(spark, monkeypatch, name):
+    from shirelens.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def fit(*args, fit_rows=None, **kwargs):
+        raise Seen(fit_rows)
+
+    monkeypatch.setattr(queries.rg, "fit_forest", fit)
+    with pytest.raises(Seen) as seen:
+        queries.REGISTRY[name](spark, "/root/testdata/sf0.001").count()
+    assert seen.value.args == (None,)
