@@ -212,7 +212,7 @@ def test_predictions_learn_from_all_regions(spark, monkeypatch, name):
     assert seen.value.args == (None,)
 
 
-@pytest.mark.parametrize("name", ["explained_regions"])
+@pytest.mark.parametrize("name", ["explained_regions", "global_importance"])
 def test_explanations_learn_from_all_regions(spark, monkeypatch, name):
     from shirelens.plans import queries
 
