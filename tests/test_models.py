@@ -183,6 +183,20 @@ def test_scoring_run_with_named_regions(spark):
     assert sum(r.is_anomaly for r in got) in (4, 5) and all(0 <= r.anomaly_score <= 1 for r in got)
 
 
+def test_scoring_run_writes_no_row_per_tree(spark, monkeypatch):
+    """However many trees forecast, no table of the run has more rows than regions or nodes."""
+    from shirelens.operators import forest as fo
+
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(float, r), float(rng.uniform(0, 100))) for i, r in enumerate(rng.uniform(1, 100, (80, len(feat.FEATURE_COLUMNS))))]
+    df = spark.createDataFrame(rows, ["region", *feat.FEATURE_COLUMNS, "hotspot_score"])
+    sizes = {}
+    real = fo.materialize
+    monkeypatch.setattr(fo, "materialize", lambda df, label, **kw: (got := real(df, label, **kw), sizes.setdefault(label, got.count()))[0])
+    assert score_regions(df, n_trees=60, max_depth=2).count() == 80
+    assert max(sizes.values()) <= 60 * 7
+
+
 def test_indices_of_known_regions(spark):
     """Three hand-computed regions."""
     df = spark.createDataFrame([("a", 1000, 200, 50.0, 0.5, 10.0, 40.0, 10.0, 12.0, 5.0, 4.0, 20.0), ("b", 2000, 400, 80.0, 0.4, 20.0, 30.0, 10.0, 10.0, 0.0, 0.0, 0.0),
